@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import language, line_dedup, quality_rules, token_count, url_reputation
+from lacuna.llm import language, line_dedup, mixing, packing, quality_rules, token_count, url_reputation
 from lacuna.llm.common import table
 
 
@@ -28,10 +28,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.copies(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
@@ -42,7 +51,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_language": op3_language,
     "op4_quality_rules": op4_quality_rules,
+    "op5_source_mix": op5_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op9_curve_packing": op9_curve_packing,
     "op10_url_reputation": op10_url_reputation,
 }
 
