@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import language, line_dedup, mixing, packing, quality_rules, token_count, url_reputation
+from lacuna.llm import embedding_dups, language, line_dedup, mixing, packing, quality_rules, token_count, url_reputation
 from lacuna.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
     "op7_line_dedup": op7_line_dedup,
+    "op8_embedding_dups": op8_embedding_dups,
     "op9_curve_packing": op9_curve_packing,
     "op10_url_reputation": op10_url_reputation,
 }
