@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import embedding_dups, language, line_dedup, mixing, packing, quality_rules, token_count, url_reputation
+from lacuna.llm import embedding_dups, language, line_dedup, mixing, packing, personal_data, quality_rules, token_count, url_reputation
 from lacuna.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_personal_data": op2_personal_data,
     "op3_language": op3_language,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
