@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import embedding_dups, language, line_dedup, mixing, packing, personal_data, quality_rules, token_count, url_reputation
+from lacuna.llm import embedding_dups, language, line_dedup, mixing, packing, personal_data, quality_rules, shingle_join, token_count, url_reputation
 from lacuna.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_quality_rules": op4_quality_rules,
     "op5_source_mix": op5_source_mix,
+    "op6_shingle_join": op6_shingle_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_dups": op8_embedding_dups,
     "op9_curve_packing": op9_curve_packing,

@@ -281,12 +281,14 @@ def _verified(base: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
 
     def run(batches):
         for b in batches:
-            sets = [pa.array(s.view(np.int64)) for _, s in sets_of(b, k)]
+            named = zip(b.column(2).to_pylist(), (s for _, s in sets_of(b, k)), strict=True)
+            named = [(c, s) for c, s in named if len(s) and class_of(s)[0] == c]  # a key may stand for several texts
+            sets = [pa.array(s.view(np.int64)) for _, s in named]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(2), lists], names=["cls", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in named], pa.int64()), lists], names=["cls", "set"])
 
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    texts = base.join(wanted.select(F.col("rep").alias("key"), "cls"), "key").select("key", "text", "cls").dropDuplicates(["cls"])
+    texts = base.join(wanted.select(F.col("rep").alias("key"), "cls"), "key").select("key", "text", "cls")
     sets = checkpoint(texts.mapInArrow(run, "cls long, set array<long>"))
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
