@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from lacuna.plans import slicing
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _part in (slicing,):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL
