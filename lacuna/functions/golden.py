@@ -46,7 +46,7 @@ def inverse(a: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_EUCLID)), four(n, a, F.lit(0), F.lit(1)), step, lambda s: F.pmod(s["t"], n))
 
 
-STEP_SQL = f"coalesce(list_filter(range(greatest(CAST(floor({PHI_1} * {{n}}) AS BIGINT), 1), greatest(CAST(floor({PHI_1} * {{n}}) AS BIGINT), 1) + {TRIES}), lambda s: gcd(s, {{n}}) = 1)[1], 1)"
+STEP_SQL = f"coalesce(list_filter(range(greatest(CAST(floor({PHI_1}e0 * {{n}}) AS BIGINT), 1), greatest(CAST(floor({PHI_1}e0 * {{n}}) AS BIGINT), 1) + {TRIES}), lambda s: gcd(s, {{n}}) = 1)[1], 1)"
 
 
 def step_sql(n: str) -> str:

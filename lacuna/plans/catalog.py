@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lacuna.plans import slicing
+from lacuna.plans import slicing, transforms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (slicing,):
+for _part in (slicing, transforms):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -25,9 +25,9 @@ def query(sql: str | None = None):
 
 
 #: slots of the user signals in SQL: the permutation built forwards and joined back
-SLOTS = f"""{USER_SIGNAL},
-len_ AS (SELECT cid, count(*) AS n FROM sig GROUP BY cid), st AS (SELECT cid, n, {step_sql("n")} AS step FROM len_),
-perm AS (SELECT cid, n, i, (i * step) % n AS pos FROM (SELECT *, unnest(range(0, n)) AS i FROM st)),
+STEPS = f"""len_ AS (SELECT cid, count(*) AS n FROM sig GROUP BY cid), st AS (SELECT cid, n, {step_sql("n")} AS step FROM len_),
+perm AS (SELECT cid, n, i, (i * step) % n AS pos FROM (SELECT *, unnest(range(0, n)) AS i FROM st))"""
+SLOTS = f"""{USER_SIGNAL}, {STEPS},
 slot AS (SELECT s.cid, s.pos, s.v, CAST(p.i % least({B}, p.n) AS INTEGER) AS block_id, CAST(p.i // least({B}, p.n) AS INTEGER) AS slice_idx, CAST(least({B}, p.n) AS INTEGER) AS blocks
   FROM sig s JOIN perm p USING (cid, pos)),
 chunk AS (SELECT cid, block_id, any_value(blocks) AS blocks, CAST(sum(abs(v)) AS BIGINT) AS score, CAST(sum(v * v) AS BIGINT) AS energy, list(v ORDER BY slice_idx) AS vals FROM slot GROUP BY cid, block_id)"""
