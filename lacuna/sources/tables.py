@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def seconds(ts: Column) -> Column:
+    """Seconds since 1970 of a zoneless timestamp, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts) / 1e6
+
+
 def user_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cid, pos, v, n): one integer signal a user, in order of time."""
     e = load(spark, sf_dir, "events").select(F.col("user_id").alias("cid"), "ts", "event_id", F.rint(F.col("value") * 100).cast("long").alias("v"))
