@@ -34,6 +34,8 @@ from lacuna.llm.common import checkpoint, components, partitions, salted_join
 from lacuna.llm.words import CHUNK, mix64, shingles, slices_by_bytes, text_buffer, word_hashes
 
 BLOCK = 4096
+#: Up to so many (key, class) rows, some tens of MB, are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 FANOUT = 16
 LEAST_BITS, MOST_BITS = 128, 1 << 14
 
@@ -288,7 +290,9 @@ def _verified(base: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in named], pa.int64()), lists], names=["cls", "set"])
 
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    texts = base.join(wanted.select(F.col("rep").alias("key"), "cls"), "key").select("key", "text", "cls")
+    wanted = checkpoint(wanted.select(F.col("rep").alias("key"), "cls"))
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = base.join(F.broadcast(wanted) if few else wanted, "key").select("key", "text", "cls")
     sets = checkpoint(texts.mapInArrow(run, "cls long, set array<long>"))
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
