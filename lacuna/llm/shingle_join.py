@@ -34,6 +34,8 @@ from lacuna.llm.common import checkpoint, components, partitions, salted_join
 from lacuna.llm.words import CHUNK, mix64, shingles, slices_by_bytes, text_buffer, word_hashes
 
 BLOCK = 4096
+#: Components of candidate pairs with more classes are verified pair by pair, not in one task.
+GROUP = 4000
 #: Up to so many (key, class) rows, some tens of MB, are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 FANOUT = 16
@@ -182,7 +184,7 @@ def traverse(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
 # --- the join ---------------------------------------------------------------------------------
 
 
-def common_shingles(df: DataFrame, k: int, sample_rows: int, least: int = 4, most: int = 100_000) -> np.ndarray:
+def common_shingles(df: DataFrame, k: int, sample_rows: int, least: int = 4, most: int = 30_000) -> np.ndarray:
     """Shingles found in several of about ``sample_rows`` texts, at most ``most``; they only shape the order."""
     n = df.count()
     rate = min(1.0, sample_rows / max(1, n))
@@ -279,20 +281,68 @@ def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 
 def _verified(base: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, by exact intersection of their whole sets."""
+    """Links that connect what ``pairs(a, b)`` reach the threshold for, by exact intersection of the whole sets.
+
+    Pairs are gathered by the components that they form, so a text travels once however many pairs it has; small
+    components share a bin, and those of more than ``GROUP`` classes are joined pair by pair instead.
+    """
+    named = components(pairs)
+    sizes = named.groupBy("component").agg(F.count("*").alias("m"))
+    named = salted_join(named, sizes, ["component"], spread="id")
+    wanted = checkpoint(named.join(classes.select(F.col("cls").alias("id"), "rep"), "id").select(F.col("rep").alias("key"), F.col("id").alias("cls"), "component", "m"))
+    n = wanted.count()
+    bins = max(partitions(base.sparkSession), n // 1000)
+    bin_ = F.pmod(F.xxhash64("component", F.lit("bin")), F.lit(bins)).cast("int")
+    few = n <= BROADCAST_ROWS
+    texts = base.join(F.broadcast(wanted) if few else wanted, "key").select("key", "text", "cls", "m", bin_.alias("bin"))
+    placed = pairs.join(wanted.select(F.col("cls").alias("a"), "m", bin_.alias("bin")), "a").select("a", "b", "m", "bin")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {}
+        cls = left["cls"].to_pylist()
+        for batch, at in _batches(left):
+            for i, s in sets_of(batch, k):
+                if len(s) and class_of(s)[0] == cls[at + i]:  # a key may stand for several texts
+                    sets[cls[at + i]] = s
+        parent = {c: c for c in sets}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y and 100 * (c := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= percent * (len(sets[a]) + len(sets[b]) - c):
+                parent[x] = y
+                out.append((a, b))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    small = texts.where(F.col("m") <= GROUP).select("bin", "text", "cls").groupBy("bin").cogroup(placed.where(F.col("m") <= GROUP).select("bin", "a", "b").groupBy("bin")).applyInArrow(check, "a long, b long")
+    if not wanted.where(F.col("m") > GROUP).limit(1).count():
+        return small
+    return small.union(_verified_apart(texts.where(F.col("m") > GROUP).select("key", "text", "cls"), placed.where(F.col("m") > GROUP).select("a", "b"), k, percent))
+
+
+def _batches(t: pa.Table):
+    """(batch with the text as column 1, its first row) in pieces that keep the copies of a text small."""
+    for at in range(0, t.num_rows, 256):
+        part = t.slice(at, 256).select(["cls", "text"]).combine_chunks()
+        yield pa.RecordBatch.from_arrays([part["cls"].combine_chunks(), part["text"].combine_chunks()], names=["cls", "text"]), at
+
+
+def _verified_apart(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same for pairs of large components: sets are joined to each pair and intersected in the engine."""
 
     def run(batches):
         for b in batches:
             named = zip(b.column(2).to_pylist(), (s for _, s in sets_of(b, k)), strict=True)
-            named = [(c, s) for c, s in named if len(s) and class_of(s)[0] == c]  # a key may stand for several texts
+            named = [(c, s) for c, s in named if len(s) and class_of(s)[0] == c]
             sets = [pa.array(s.view(np.int64)) for _, s in named]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in named], pa.int64()), lists], names=["cls", "set"])
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    wanted = checkpoint(wanted.select(F.col("rep").alias("key"), "cls"))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(wanted) if few else wanted, "key").select("key", "text", "cls")
     sets = checkpoint(texts.mapInArrow(run, "cls long, set array<long>"))
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
