@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lacuna.plans import slicing, transforms, transport
+from lacuna.plans import media, slicing, transforms, transport
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (slicing, transforms, transport):
+for _part in (slicing, transforms, transport, media):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

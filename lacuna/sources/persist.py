@@ -14,3 +14,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lacuna-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def checkpoint_dir(spark) -> str:
+    """The checkpoint folder of the session, set as in checkpoint() where it is unset."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lacuna-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
