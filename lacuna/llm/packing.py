@@ -14,6 +14,7 @@ most one sequence; equal texts share a curve key but are split by their keys.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -82,6 +83,9 @@ def curve_keys(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, f"k {kind}, t string, h long")
 
 
+_STOPPED = re.compile(rb"([a-z]+)([.,;:!?]+)")
+
+
 class Ids(dict):
     """Ids (little-endian bytes) of white-space separated words as the library gives them.
 
@@ -93,18 +97,24 @@ class Ids(dict):
         self.encoder, self.most = tokenizer(path), most
 
     def learn(self, words: set[bytes]) -> None:
+        """Letters and the stops after them are separate pre-tokens, so only the parts of such words are encoded."""
         new = words.difference(self)
-        if len(self) + len(new) > self.most:
+        if len(self) + 2 * len(new) > self.most:
             self.clear()
             new = words
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        split = {w: m.groups() for w in new if (m := _STOPPED.fullmatch(w))}
+        parts = new.difference(split).union(*split.values()).difference(self)
+        parts = list(parts)
+        for i in range(0, len(parts), 20_000):
+            part = parts[i : i + 20_000]
             for w, e in zip(part, self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w, (a, b) in split.items():
+            self[w] = self[a] + self[b]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        # the vocabulary is lower case; special strings are matched before, in their case
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*words))
         return [b"".join(map(self.__getitem__, w)) for w in words]
 
@@ -129,7 +139,7 @@ def _parts(text: bytes, most: int = CHUNK):
     yield text[at:]
 
 
-def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = 2048, end_id: int = 1, most_words: int = 400_000) -> DataFrame:
+def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = 2048, end_id: int = 1, most_words: int = 600_000) -> DataFrame:
     """One row a piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     end = np.asarray([end_id], "<u4").tobytes()
 
