@@ -58,7 +58,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def project(hashes: np.ndarray) -> np.ndarray:
-    """A text's words as one point: per dimension the sum of the words' hashed weights over its root sum of squares."""
+    """A text's distinct words as one point: per dimension the sum of their hashed weights over the root of their number."""
+    hashes = np.unique(hashes)
     if not len(hashes):
         return np.zeros(DIMS)
     v = ((hashes[:, None] >> (np.arange(DIMS, dtype=np.uint64) * np.uint64(16))[None, :]) & np.uint64(0xFFFF)).astype(np.float64) / 32767.5 - 1
