@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_count = itertools.count(1)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage here and in the driver's JVM, so that Spark's cleaner removes the shuffle files, broadcasts and
+    checkpoints of tables that are no longer referenced; long chains of jobs fill disk and heap otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the session names; where it names none (tests), in a folder of our own."""
     spark = df.sparkSession
@@ -20,7 +32,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lacuna-ckpt-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_count) % 6 == 0:
+        release(spark)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -283,19 +283,23 @@ def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 def _verified(base: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links that connect what ``pairs(a, b)`` reach the threshold for, by exact intersection of the whole sets.
 
-    Pairs are gathered by the components that they form, so a text travels once however many pairs it has; small
-    components share a bin, and those of more than ``GROUP`` classes are joined pair by pair instead.
+    Pairs are gathered by the least class that their first end meets, which is one group for most families, so a text
+    travels about once however many pairs it has; small groups share a bin, and groups of more than ``GROUP`` classes
+    are joined pair by pair instead.
     """
-    named = components(pairs)
-    sizes = named.groupBy("component").agg(F.count("*").alias("m"))
-    named = salted_join(named, sizes, ["component"], spread="id")
-    wanted = checkpoint(named.join(classes.select(F.col("cls").alias("id"), "rep"), "id").select(F.col("rep").alias("key"), F.col("id").alias("cls"), "component", "m"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    least = both.groupBy("a").agg(F.min("b").alias("g")).select("a", F.least("a", "g").alias("g"))
+    grouped = checkpoint(salted_join(pairs.select("a", "b"), least, ["a"], spread="b"))
+    needs = grouped.select("g", F.col("a").alias("cls")).union(grouped.select("g", "b")).distinct()
+    sizes = needs.groupBy("g").agg(F.count("*").alias("m"))
+    needs = salted_join(needs, sizes, ["g"], spread="cls")
+    wanted = checkpoint(needs.join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("key"), "cls", "g", "m"))
     n = wanted.count()
     bins = max(partitions(base.sparkSession), n // 1000)
-    bin_ = F.pmod(F.xxhash64("component", F.lit("bin")), F.lit(bins)).cast("int")
+    bin_ = F.pmod(F.xxhash64("g", F.lit("bin")), F.lit(bins)).cast("int")
     few = n <= BROADCAST_ROWS
     texts = base.join(F.broadcast(wanted) if few else wanted, "key").select("key", "text", "cls", "m", bin_.alias("bin"))
-    placed = pairs.join(wanted.select(F.col("cls").alias("a"), "m", bin_.alias("bin")), "a").select("a", "b", "m", "bin")
+    placed = salted_join(grouped, sizes, ["g"], spread="b").select("a", "b", "m", bin_.alias("bin"))
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {}
@@ -343,7 +347,7 @@ def _verified_apart(texts: DataFrame, pairs: DataFrame, k: int, percent: int) ->
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in named], pa.int64()), lists], names=["cls", "set"])
 
-    sets = checkpoint(texts.mapInArrow(run, "cls long, set array<long>"))
+    sets = checkpoint(texts.mapInArrow(run, "cls long, set array<long>").dropDuplicates(["cls"]))
     both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("c")).where(F.col("c") * 100 >= percent * (F.col("n") - F.col("c"))).select("a", "b")
@@ -395,9 +399,10 @@ def _components(base: DataFrame, keyed: DataFrame, classes: DataFrame, k: int, p
     stars = checkpoint(keyed.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct())
     first = checkpoint(_verified(base, checkpoint(_within_bound(stars, classes, percent)), classes, k, percent))
     comp = components(first)
+    comp = checkpoint(comp)
     named = keyed.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
     by = Window.partitionBy("token")
     open_ = named.withColumn("c0", F.min("comp").over(by)).withColumn("c1", F.max("comp").over(by)).where("c0 < c1").select("token", "cls", "comp")
     rest = checkpoint(_candidates(open_, classes, percent).join(stars, ["a", "b"], "left_anti"))
     second = checkpoint(_verified(base, rest, classes, k, percent))
-    return components(first.union(second))
+    return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
