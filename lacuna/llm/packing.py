@@ -1,13 +1,13 @@
 """Operator 9: packing along a space-filling curve.
 
 Each text gets a hashed vector (its distinct words' signs, projected to few dimensions), the vector is quantised and
-its place on a Hilbert curve is the sort key.  Documents are dealt to range partitions of (curve key,
-document key) and each partition lays its documents' ids end to end along the curve, cutting where a sequence is full.
+its place on a Hilbert curve is the sort key.  Documents are dealt to ranges of (curve place, hash of the
+document's key) and each partition lays its documents' ids end to end along the curve, cutting where a sequence is full.
 The ids left over at the end of a partition are cut into sequences whose lengths are powers of two,
 which need no padding.
 
 Null and empty texts have only the end id.  Rows are packed one by one, repeated keys or not; ties on the curve are
-broken by key and text hash.  Extra columns are ignored; an empty table gives no piece.  A task holds one Arrow batch and at
+broken by a hash of the key, then the key.  Extra columns are ignored; an empty table gives no piece.  A task holds one Arrow batch and at
 most one sequence; equal texts share a curve key but are split by their keys.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import partitions, tokenizer
 from lacuna.llm.words import CHUNK, slices_by_bytes, text_buffer, word_hashes
 
-DIMS, BITS = 4, 10
+DIMS, BITS, SALT_BITS = 4, 10, 20
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -66,8 +66,10 @@ def project(hashes: np.ndarray) -> np.ndarray:
     return v.sum(0) / np.sqrt(len(hashes))
 
 
-def curve_keys(df: DataFrame, text: str) -> DataFrame:
-    """``df(key, text)`` with ``h``, the place on the curve."""
+def curve_keys(df: DataFrame, ends: list[int] | None = None) -> DataFrame:
+    """``df(key, text, salt)`` with ``h``: the place on the curve, then the salt, so that equal texts can be dealt out;
+    and ``p``, the number of ``ends`` below it."""
+    cuts = np.array(ends or [], np.int64)
 
     def run(batches):
         for b in batches:
@@ -78,13 +80,27 @@ def curve_keys(df: DataFrame, text: str) -> DataFrame:
                 for r in range(j - i):
                     points[i + r] = project(words[bounds[r] : bounds[r + 1]])
             grid = np.clip(np.floor((np.tanh(points) + 1) * (1 << (BITS - 1))), 0, (1 << BITS) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hilbert(grid))], names=["k", "t", "h"])
+            h = hilbert(grid) << SALT_BITS | b.column(2).to_numpy()
+            p = np.searchsorted(cuts, h, side="left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h), pa.array(p)], names=["k", "t", "h", "p"])
 
     kind = df.schema[0].dataType.simpleString()
-    return df.mapInArrow(run, f"k {kind}, t string, h long")
+    return df.mapInArrow(run, f"k {kind}, t string, h long, p int")
 
 
-_STOPPED = re.compile(rb"([a-z]+)([.,;:!?]+)")
+def by_curve(df: DataFrame, n: int, sample_rows: int = 20_000) -> DataFrame:
+    """``df(k, t, salt)`` dealt to n ranges of the curve and sorted.
+
+    The ranges' ends are quantiles over about ``sample_rows`` rows picked by hash: keys are computed once for every row
+    and once more for the sample only, where a range shuffle would compute all twice.
+    """
+    rate = min(1.0, sample_rows / max(1, df.count()))
+    some = curve_keys(df.where(F.pmod(F.xxhash64("salt", "k"), F.lit(1 << 30)) < int(rate * (1 << 30))))
+    ends = some.agg(F.percentile_approx("h", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    return curve_keys(df, ends).repartitionById(n, F.col("p")).sortWithinPartitions("h", "k")
+
+
+_STOPPED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
 class Ids(dict):
@@ -96,6 +112,9 @@ class Ids(dict):
     def __init__(self, path: str, most: int):
         super().__init__()
         self.encoder, self.most = tokenizer(path), most
+        vocab = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def learn(self, words: set[bytes]) -> None:
         """Letters and the stops after them are separate pre-tokens, so only the parts of such words are encoded."""
@@ -103,15 +122,41 @@ class Ids(dict):
         if len(self) + 2 * len(new) > self.most:
             self.clear()
             new = words
-        split = {w: m.groups() for w in new if (m := _STOPPED.fullmatch(w))}
-        parts = new.difference(split).union(*split.values()).difference(self)
-        parts = list(parts)
-        for i in range(0, len(parts), 20_000):
-            part = parts[i : i + 20_000]
-            for w, e in zip(part, self.encoder.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w, (a, b) in split.items():
-            self[w] = self[a] + self[b]
+        whole, other, split = set(), set(), []
+        for t in map(bytes.decode, new):
+            if t.isalpha():
+                whole.add(t)
+            elif m := _STOPPED.fullmatch(t):
+                x, y = m.groups()
+                split.append((t.encode(), x.encode(), y.encode()))
+                if split[-1][1] not in self:
+                    (whole if x.isalpha() else other).add(x)
+                if split[-1][2] not in self:
+                    other.add(y)
+            else:
+                other.add(t)
+        whole, other = list(whole), list(other)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            for w, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[w.encode()] = np.asarray(e.ids, "<u4").tobytes()
+        self._learn_letters(whole)
+        for w, x, y in split:
+            self[w] = self[x] + self[y]
+
+    def _learn_letters(self, words: list[str], each: int = 1000) -> None:
+        """Words of letters are one pre-token with one end mark: many are encoded as one text and told apart by the marks."""
+        for i in range(0, len(words), 20 * each):
+            part = words[i : i + 20 * each]
+            joined = [" ".join(part[j : j + each]) for j in range(0, len(part), each)]
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.encoder.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            data, start = ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary has no mark at word ends")
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self[w.encode()] = data[start:end]
+                start = end
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         # the vocabulary is lower case; special strings are matched before, in their case
@@ -203,9 +248,8 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size
                         sequence, offset, room = sequence + 1, 0, lengths.pop(0) if lengths else 0
             yield flush(kind)
 
-    base = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    placed = curve_keys(base, "t").withColumn("x", F.xxhash64("t"))
-    n = max(1, partitions(df.sparkSession))
-    dealt = placed.repartitionByRange(n, "h", "k", "x").sortWithinPartitions("h", "k", "x").select("k", "t")
+    salt = F.pmod(F.xxhash64(key, F.lit("curve")), F.lit(1 << SALT_BITS))
+    base = df.select(F.col(key).alias("k"), F.col(text).alias("t"), salt.alias("salt"))
+    dealt = by_curve(base, max(1, partitions(df.sparkSession))).select("k", "t")
     name = df.schema[key].dataType.simpleString()
     return dealt.mapInArrow(run, f"`{key}` {name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
