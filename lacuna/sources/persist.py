@@ -13,7 +13,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lacuna-ckpt-"))
-    return df.checkpoint(eager=True)
+    return forget(df.checkpoint(eager=True))
+
+
+def forget(df: DataFrame) -> DataFrame:
+    """The same rows without the size estimate that a checkpoint inherits.
+
+    A join's estimate is the product of its sides', so in a loop of joins and checkpoints its digits double every
+    round until planning takes all memory.  The adaptive planner sizes the rows as it reads them.
+    """
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    j = df._jdf
+    return Classic(df.sparkSession._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), df.sparkSession)
 
 
 def checkpoint_dir(spark) -> str:
