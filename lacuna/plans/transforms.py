@@ -115,7 +115,7 @@ def confidence_cells(spark, d):
     return A.tile_confidence(c.select("cid", "y", "x", got.alias("present"))).select("cid", "confidence")
 
 
-@query(f"WITH {SLOTS} SELECT cid, pos, CASE WHEN {LOSSY} THEN 1.0 ELSE 0.0 END AS confidence FROM slot")
+@query(f"WITH {SLOTS} SELECT cid, pos, CASE WHEN {LOSSY} THEN 1.0e0 ELSE 0.0e0 END AS confidence FROM slot")
 def confidence_samples(spark, d):
     s = _slots(spark, d)
     return s.select("cid", "pos", S.survives(F.col("cid"), F.col("block_id")).cast("double").alias("confidence"))
