@@ -165,20 +165,40 @@ def _children(i, j, tree, other, h, same):
 
 
 def traverse(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of one block's table (n, sig, comp, side); side is 0 throughout if the block is held against itself."""
+    """Row pairs of one block's table (n, sig, comp, side); side is 0 throughout if the block is held against itself.
+
+    There is one tree for each signature length, so that short signatures do not blunt long ones; sets near enough in
+    size have lengths that are equal or differ by one doubling.
+    """
     n, comp, side = part["n"].to_numpy(), part["comp"].to_numpy(), part["side"].to_numpy()
     sigs = part["sig"].to_pylist()
-    bits = min(len(s) for s in sigs) * 8
-    maps = np.stack([fold(s, bits) for s in sigs])
-    order = np.lexsort((n, comp))
-    if (side == 0).all():
-        i, j = dual(SignatureTree(n[order], maps[order], comp[order]), None, percent)
-        return order[i], order[j]
-    left, right = order[side[order] == 0], order[side[order] == 1]
-    if not len(left) or not len(right):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = dual(SignatureTree(n[left], maps[left], comp[left]), SignatureTree(n[right], maps[right], comp[right]), percent)
-    return left[i], right[j]
+    width = np.array([len(s) for s in sigs])
+    itself = bool((side == 0).all())
+
+    def tree(rows: np.ndarray, w: int) -> SignatureTree:
+        return SignatureTree(n[rows], np.stack([fold(sigs[r], 8 * w) for r in rows]), comp[rows])
+
+    def rows_of(w: int, of: int) -> np.ndarray:
+        rows = np.flatnonzero((width == w) & (side == of))
+        return rows[np.lexsort((n[rows], comp[rows]))]
+
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width).tolist():
+        a = rows_of(w, 0)
+        if not len(a):
+            continue
+        for v in (w, 2 * w) if itself else (w // 2, w, 2 * w):
+            if itself and v == w:
+                i, j = dual(tree(a, w), None, percent)
+                b = a
+            else:
+                b = rows_of(v, 0 if itself else 1)
+                if not len(b):
+                    continue
+                i, j = dual(tree(a, min(w, v)), tree(b, min(w, v)), percent)
+            left.append(a[i])
+            right.append(b[j])
+    return np.concatenate(left), np.concatenate(right)
 
 
 # --- the join ---------------------------------------------------------------------------------
