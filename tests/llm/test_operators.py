@@ -316,3 +316,10 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 200)]
     got = dict(collect(common.components(spark.createDataFrame(edges, "a long, b long")), "id", "component"))
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_trees_pruned_at_the_root_and_sizes_apart():
+    one = shingle_join.SignatureTree(np.array([100] * 40), np.full((40, 2), 1, np.uint64), np.arange(40))
+    two = shingle_join.SignatureTree(np.array([500] * 3), np.full((3, 2), 2, np.uint64), np.arange(3) + 100)
+    assert [len(x) for x in shingle_join.dual(one, two, 85)] == [0, 0] == [len(x) for x in shingle_join.dual(two, one, 85)]
+    assert len(shingle_join.dual(one, None, 85)[0]) == 40 * 39 // 2
