@@ -315,5 +315,5 @@ UNION ALL SELECT u.cid, u.step, u.a, u.b, f.x + 0.05 * ((u.a - f.x) + f.k * f.y)
 def torsion_state(spark, d):
     e = load(spark, d, "events")
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    u = e.select(F.col("user_id").alias("cid"), step.alias("step"), F.array(F.col("value") / 100, (F.col("event_id") % 5) / 5.0).alias("u")).where("step <= 20")
+    u = e.select(F.col("user_id").alias("cid"), step.alias("step"), F.array(F.col("value") / 100, (F.col("event_id") % 5) / 5.0).alias("u"))
     return P.torsion(u, 2).select("cid", "step", *[F.round(c, 6).alias(c) for c in ("energy", "norm_x", "norm_k")])
