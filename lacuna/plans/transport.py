@@ -108,7 +108,7 @@ def crc_frames(spark, d):
 @query("SELECT item_id, flatten(list_transform(range(0, 4), lambda i: list_transform([128, 64, 32, 16, 8, 4, 2, 1], lambda m: CASE WHEN (ord(substr(b, i + 1, 1)) & m) <> 0 THEN 1 ELSE 0 END))) AS bits FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS b FROM benchmark)")
 def bits_of_bytes(spark, d):
     t = F.regexp_replace("text", "[^ -~]", "?")
-    return load(spark, d, "benchmark").select("item_id", B.bits(F.substring(F.encode(t, "UTF-8"), 1, 4)).alias("bits"))
+    return load(spark, d, "benchmark").select("item_id", B.bits(F.encode(t, "UTF-8")).alias("bits"))
 
 
 @query("SELECT page_id, CASE WHEN t = '' THEN 'default' ELSE regexp_replace(t, '[^\\p{L}\\p{N}\\-._]', '_', 'g') END AS slug FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE url END AS t FROM pages)")

@@ -1,8 +1,10 @@
 """Queries that once took a part of their input, against the whole of it."""
 
 import datetime
+import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from lacuna.plans import catalog
@@ -53,3 +55,10 @@ def test_torsion_folds_whole_sequences(spark, tmp_path):
 def test_torsion_whole_table(spark, sf_dir):
     n = agrees(spark, sf_dir, "torsion_state", " WHERE u.step <= 20", "")
     assert n == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_bits_of_whole_texts(spark, sf_dir):
+    agrees(spark, sf_dir, "bits_of_bytes", "range(0, 4)", "range(0, length(b))")
+    texts = {r["item_id"]: re.sub("[^ -~]", "?", r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {r["item_id"]: np.packbits(np.array(r["bits"], np.uint8)).tobytes().decode() for r in catalog.QUERIES["bits_of_bytes"](spark, sf_dir).collect()}
+    assert got == texts and max(map(len, texts.values())) > 4
