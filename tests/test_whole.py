@@ -62,3 +62,8 @@ def test_bits_of_whole_texts(spark, sf_dir):
     texts = {r["item_id"]: re.sub("[^ -~]", "?", r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     got = {r["item_id"]: np.packbits(np.array(r["bits"], np.uint8)).tobytes().decode() for r in catalog.QUERIES["bits_of_bytes"](spark, sf_dir).collect()}
     assert got == texts and max(map(len, texts.values())) > 4
+
+
+def test_every_object_is_unpacked(spark, sf_dir):
+    n = agrees(spark, sf_dir, "unpack_range", " WHERE gb.cid % 10 = 1", "")
+    assert n == spark.read.parquet(f"{sf_dir}/events.parquet").count()
