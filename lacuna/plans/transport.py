@@ -234,10 +234,11 @@ def peer_list(spark, d):
 @query()
 def gossip_rounds(spark, d):
     """Chunks known to each peer over rounds of taking up to 64 missing ones from the next peer."""
-    from lacuna.streaming.gossip import simulate
+    from lacuna.streaming.gossip import ring, simulate
 
-    li = load(spark, d, "lineitem").where("l_suppkey <= 16 and l_partkey <= 65535").select((F.col("l_suppkey") - 1).alias("peer"), F.col("l_partkey").alias("id")).distinct()
-    return simulate(li, peers=16, rounds=3)
+    places, n = ring(load(spark, d, "supplier"), "s_suppkey")
+    li = load(spark, d, "lineitem").where("l_partkey <= 65535").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    return simulate(li.select("peer", F.col("l_partkey").alias("id")).distinct(), peers=n, rounds=3)
 
 
 @query("WITH f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame FROM conversations), r AS (SELECT conv_id, turn FROM f WHERE frame % 3 <> 2) SELECT f.conv_id, f.turn, CASE WHEN r.turn IS NOT NULL THEN CAST(frame AS INTEGER) END AS frame FROM f LEFT JOIN r ON r.conv_id = f.conv_id AND r.turn = f.turn")

@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from lacuna.sources.persist import checkpoint
 
 
+def ring(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(key, peer) with places 0, 1, ... in order of the distinct keys, and their number; counted range by range, not in one task."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    x = checkpoint(keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = dict(x.groupBy(part.alias("part")).count().collect())
+    before = [0]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    start = F.element_at(F.array(*map(F.lit, before)), part.cast("int") + 1)
+    return x.select(key, (start + place).alias("peer")), sum(sizes.values())
+
+
 def step(have: DataFrame, peers: int, most: int = 64) -> DataFrame:
     """Each peer takes the first ``most`` ids that the next one has and it lacks."""
     offer = have.select(F.pmod(F.col("peer") - 1, F.lit(peers)).alias("peer"), "id")

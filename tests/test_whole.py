@@ -67,3 +67,17 @@ def test_bits_of_whole_texts(spark, sf_dir):
 def test_every_object_is_unpacked(spark, sf_dir):
     n = agrees(spark, sf_dir, "unpack_range", " WHERE gb.cid % 10 = 1", "")
     assert n == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_every_supplier_gossips(spark, tmp_path):
+    keys = [0, 3, 16, 17, 18, 40, *range(100, 2000, 90)]
+    rows = [(k, (k * 7 + i * i * 13) % 70_000) for k in keys[1:] for i in range(150)]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    have = [{p for s, p in rows if s == k and p <= 65535} for k in keys]
+    want = []
+    for r in range(4):
+        want += [(r, i, len(h)) for i, h in enumerate(have) if h]
+        have = [h | set(sorted(have[(i + 1) % len(keys)] - h)[:64]) for i, h in enumerate(have)]
+    got = sorted((r["round"], r["peer"], r["n"]) for r in catalog.QUERIES["gossip_rounds"](spark, str(tmp_path)).collect())
+    assert got == sorted(want)
