@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -103,6 +104,11 @@ def by_curve(df: DataFrame, n: int, sample_rows: int = 20_000) -> DataFrame:
 _STOPPED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
+def _one_word(t: str) -> bool:
+    """Whether the library, which composes and lowers first, sees letters only; it may split off a mark ("İ", "क़")."""
+    return t.isascii() and t.isalpha() or unicodedata.normalize("NFC", t).lower().isalpha()
+
+
 class Ids(dict):
     """Ids (little-endian bytes) of white-space separated words as the library gives them.
 
@@ -124,28 +130,33 @@ class Ids(dict):
             new = words
         whole, other, split = set(), set(), []
         for t in map(bytes.decode, new):
-            if t.isalpha():
+            if _one_word(t):
                 whole.add(t)
-            elif m := _STOPPED.fullmatch(t):
+            elif (m := _STOPPED.fullmatch(t)) and _one_word(m[1]):
                 x, y = m.groups()
                 split.append((t.encode(), x.encode(), y.encode()))
                 if split[-1][1] not in self:
-                    (whole if x.isalpha() else other).add(x)
+                    whole.add(x)
                 if split[-1][2] not in self:
                     other.add(y)
             else:
                 other.add(t)
-        whole, other = list(whole), list(other)
-        for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
-            for w, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[w.encode()] = np.asarray(e.ids, "<u4").tobytes()
-        self._learn_letters(whole)
+        self._learn_each(list(other))
+        self._learn_letters(list(whole))
         for w, x, y in split:
             self[w] = self[x] + self[y]
 
+    def _learn_each(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            for w, e in zip(part, self.encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[w.encode()] = np.asarray(e.ids, "<u4").tobytes()
+
     def _learn_letters(self, words: list[str], each: int = 1000) -> None:
-        """Words of letters are one pre-token with one end mark: many are encoded as one text and told apart by the marks."""
+        """Words of letters are one pre-token with one end mark: many are encoded as one text and told apart by the marks.
+
+        Where their numbers differ (letters that the library doesn't know as such) the words are encoded one by one.
+        """
         for i in range(0, len(words), 20 * each):
             part = words[i : i + 20 * each]
             joined = [" ".join(part[j : j + each]) for j in range(0, len(part), each)]
@@ -153,7 +164,8 @@ class Ids(dict):
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             data, start = ids.tobytes(), 0
             if len(ends) != len(part):
-                raise ValueError("the vocabulary has no mark at word ends")
+                self._learn_each(part)
+                continue
             for w, end in zip(part, ends.tolist(), strict=True):
                 self[w.encode()] = data[start:end]
                 start = end
