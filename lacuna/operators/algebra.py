@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import transforms as T
 from lacuna.operators import slicing as S
-from lacuna.sources.persist import checkpoint
+from lacuna.sources.persist import stored
 
 
 def frame_count(n: Column, n_fft: int, hop: int) -> Column:
@@ -78,11 +78,11 @@ def heal_fixed_point(sig: DataFrame, blocks: int, rounds: int, tol: float) -> Da
     """
     spark = sig.sparkSession
     first = S.slots(sig, blocks)
-    first = checkpoint(S.decode(first, first.select("cid", "block_id").distinct().where(S.survives(F.col("cid"), F.col("block_id")))).select("cid", "pos", F.col("decoded").alias("v")))
+    first = stored(S.decode(first, first.select("cid", "block_id").distinct().where(S.survives(F.col("cid"), F.col("block_id")))).select("cid", "pos", F.col("decoded").alias("v")))
     now, rows, last = first, [], None
     for i in range(rounds):
         s = S.slots(now, blocks)
-        healed = checkpoint(S.decode(s, s.select("cid", "block_id").distinct()).select("cid", "pos", F.col("decoded").alias("v")))
+        healed = stored(S.decode(s, s.select("cid", "block_id").distinct()).select("cid", "pos", F.col("decoded").alias("v")))
         error = lambda a: healed.join(a.withColumnRenamed("v", "w"), ["cid", "pos"]).agg(F.avg((F.col("v") - F.col("w")) * (F.col("v") - F.col("w")))).first()[0]  # noqa: B023, E731
         delta, drift = error(now), error(first)
         rows.append((i + 1, float(delta), float(drift)))
@@ -118,17 +118,15 @@ def block_map(cells: DataFrame, side: int, block: int) -> DataFrame:
 
 
 def audio_roundtrip(signals: DataFrame, n_fft: int, hop: int) -> DataFrame:
+    """(cid, pos, x): the signals from their spectra, to six digits."""
+
     def run(batches):
         for b in batches:
-            worst = []
-            for x in b.column(1).to_pylist():
-                x = np.array(x)
-                back = T.istft(T.stft(x, n_fft, hop), len(x), n_fft, hop)
-                inner = slice(1, max(1, len(x) - n_fft))
-                worst.append(round(float(np.abs(back - x)[inner].max(initial=0.0)), 6))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(worst, pa.float64())], names=["cid", "worst"])
-
-    return signals.mapInArrow(run, "cid long, worst double")
+            for cid, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                back = np.round(T.istft(T.stft(np.array(x), n_fft, hop), len(x), n_fft, hop), 6) + 0.0
+                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(back), pa.int64()), pa.array(np.arange(len(back))), pa.array(back)], names=["cid", "pos", "x"])
+
+    return signals.mapInArrow(run, "cid long, pos long, x double")
 
 
 def shift_estimates(blocks: DataFrame, by: tuple[int, int]) -> DataFrame:

@@ -30,6 +30,12 @@ def embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("cid", F.expr("i div 8").cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), v.alias("v"))
 
 
+def embedding_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cid, block array<double>): the same values, row by row, without taking the vectors apart."""
+    v = F.transform("embedding", lambda e: F.rint(F.least(F.greatest(e.cast("double") * 32 + 128, F.lit(0.0)), F.lit(255.0))))
+    return load(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("cid"), v.alias("block"))
+
+
 #: SQL of the same fields.
 USER_SIGNAL = """sig AS (SELECT user_id AS cid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
   CAST(round_even(value * 100, 0) AS BIGINT) AS v, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""

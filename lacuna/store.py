@@ -7,15 +7,20 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.functions import bytes as B
 from lacuna.operators import codec as C
 from lacuna.operators import transport as T
-from lacuna.sources.persist import checkpoint
+from lacuna.sources.persist import drop, remove, stored
 
-SCHEMA = "cid string, chunk_id long, name string, data binary, score double, seen double"
+COLUMNS = ["chunk_id", "name", "data", "score", "seen", "cid"]
+SCHEMA = "chunk_id long, name string, data binary, score double, seen double, cid string"
 
 
 class ChunkStore:
-    """Chunks by content (hex) and id; the last write of an id wins."""
+    """Chunks by content (hex) and id; the last write of an id wins.
+
+    Contents are partitions: a write replaces those it touches and no other, after their new rows are written aside.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -28,12 +33,13 @@ class ChunkStore:
                 return self.spark.createDataFrame([], SCHEMA)
             raise
 
-    def _replace(self, df: DataFrame) -> None:
-        checkpoint(df).select(*[f.name for f in self.spark.createDataFrame([], SCHEMA).schema]).write.mode("overwrite").partitionBy("cid").parquet(self.path)
-
     def put(self, chunks: DataFrame) -> None:
         """Add chunks(cid, chunk_id, name, data, score); those already there are replaced."""
-        self._replace(T.upsert(self.table(), chunks.withColumn("seen", F.lit(time.time())), ["cid", "chunk_id"], F.col("seen")))
+        arriving = stored(chunks.withColumn("seen", F.lit(time.time())).select(*COLUMNS))
+        touched = self.table().join(arriving.select("cid").distinct(), "cid", "left_semi").select(*COLUMNS)
+        merged = stored(T.upsert(touched, arriving, ["cid", "chunk_id"], F.col("seen")).select(*COLUMNS))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cid").parquet(self.path)
+        drop(arriving, merged)
 
     def chunks(self, cid: str) -> DataFrame:
         return self.table().where(F.col("cid") == cid).orderBy("name")
@@ -48,32 +54,44 @@ class ChunkStore:
         return self.chunks(cid).agg(F.max("seen")).first()[0] or 0.0
 
     def purge(self, ttl: float, now: float | None = None) -> None:
-        self._replace(T.purge(self.table(), F.lit(now if now is not None else time.time()), ttl))
+        """Drop the contents whose last chunk is older than ``ttl`` seconds, partition by partition."""
+        limit = (now if now is not None else time.time()) - ttl
+        for r in T.last_seen(self.table()).where(F.col("last") < limit).select("cid").toLocalIterator():
+            self.drop(r["cid"])
 
     def drop(self, cid: str) -> None:
-        self._replace(self.table().where(F.col("cid") != cid))
+        remove(self.spark, f"{self.path}/cid={cid}")
 
 
 class FieldView:
-    """One content of a store: coverage, best reconstruction, healing."""
+    """One content of a store: coverage, best reconstruction, healing; chunks are read and decoded on an executor."""
 
     def __init__(self, store: ChunkStore, cid: str):
         self.store, self.cid = store, cid
 
-    def _rows(self) -> list[C.Chunk]:
-        return [(r["name"], bytes(r["data"]), r["score"]) for r in self.store.chunks(self.cid).collect()]
+    def _chunks(self) -> DataFrame:
+        return self.store.chunks(self.cid).select(F.lit(0).cast("long").alias("cid"), "name", "data", "score")
 
     def coverage(self) -> dict:
-        f = C.gather(self._rows(), use_recovery=False)
-        return {"present": self.store.count(self.cid), "total": f.blocks if f else 0, "layout": f.kind if f else "unknown"}
+        """Chunks there are and should be, and the layout that the first readable header gives."""
+        x = self._chunks().where(~F.col("name").startswith("recovery_"))
+        kind = F.when(F.substring("data", 1, 4) == B.lit_bytes(B.IMAGE), "image").when(F.substring("data", 1, 4) == B.lit_bytes(B.AUDIO), "audio")
+        total = F.when(kind == "image", B.from_be(F.col("data"), 14, 4)).otherwise(B.from_be(F.col("data"), 16, 4))
+        first = x.where(kind.isNotNull()).orderBy("name").select(kind.alias("layout"), total.alias("total")).first()
+        return {"present": self.store.count(self.cid), "total": first["total"] if first else 0, "layout": first["layout"] if first else "unknown"}
 
     def best(self, most: int | None = None, by_gain: bool = False, use_recovery: bool | None = None):
         """(values, confidence), or None if nothing decodes."""
-        f = C.gather(self._rows(), most, by_gain, use_recovery)
-        return None if f is None else (C.render(f), C.confidence(f))
+        import numpy as np
+
+        row = C.decode_fields(self._chunks(), most, by_gain, use_recovery).first()
+        if row is None:
+            return None
+        values = np.frombuffer(row["values"], np.uint8 if row["kind"] == "image" else np.int16).reshape(row["shape"])
+        return values, np.array(row["confidence"], np.float32)
 
     def heal(self, **options) -> list[C.Chunk]:
-        return C.heal(self._rows(), **options)
+        return [(r["name"], bytes(r["data"]), r["score"]) for r in C.heal_fields(self._chunks(), **options).orderBy("name").toLocalIterator()]
 
 
 class FrameWindow:

@@ -1,59 +1,81 @@
-"""Reassembly of fragments as a stateful stream: state per chunk, expiry by time since its first fragment."""
+"""Reassembly of fragments as a stateful stream: state per content and chunk, dropped by a timer when it gets old."""
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_OUT = "chunk_id long, frags int, bytes long, data binary"
+from lacuna.sources.persist import new_path
+
+KEYS = ["content_id", "chunk_id"]
+_OUT = "content_id string, chunk_id long, event string, frags int, bytes long, data binary"
 _STATE = "first double, total int, size long, idx array<int>, parts array<binary>"
 
 
-def assemble(stream: DataFrame, max_age: float = 5.0) -> DataFrame:
-    """Completed chunks of a stream (chunk_id, frag_idx, frag_total, chunk_len, payload, seen seconds).
+def assemble(stream: DataFrame, max_age: float = 5.0, delay: str = "0 seconds") -> DataFrame:
+    """Events of a stream of fragments (content_id, chunk_id, frag_idx, frag_total, chunk_len, payload, at timestamp).
 
-    Duplicates overwrite; fragments that disagree with the first in count or length are ignored; a partial older than
-    ``max_age`` (strictly) when a fragment comes is dropped and that fragment opens a new one.
+    ``complete`` rows carry a chunk's bytes, ``expired`` rows count the fragments of a partial that was dropped since its
+    first fragment is more than ``max_age`` seconds old: when a later fragment comes (which opens a new partial), or when
+    the watermark, ``delay`` behind the latest fragment, says that none will come in time.  Duplicates overwrite;
+    fragments that disagree with the first in count or length are ignored.
     """
 
     def push(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)) if state is not None else pd.DataFrame()
-        if state.hasTimedOut:
-            state.remove()
-            return
+        out = []
+
+        def say(event: str, frags: int, data: bytes | None = None) -> None:
+            out.append((*key, event, frags, len(data or b""), data))
+
         first, total, size, idx, parts = state.get if state.exists else (0.0, 0, 0, [], [])
         have = dict(zip(idx, parts, strict=True))
-        done = []
-        for r in rows.sort_values(["seen", "frag_idx"]).itertuples():
-            if have and r.seen - first > max_age:
-                have = {}
-            if not have:
-                first, total, size = float(r.seen), int(r.frag_total), int(r.chunk_len)
-            if (r.frag_total, r.chunk_len) != (total, size) or r.frag_idx >= total:
-                continue
-            have[int(r.frag_idx)] = bytes(r.payload)
-            if len(have) == total:
-                done.append((key[0], total, b"".join(have[i] for i in range(total))[:size]))
-                have = {}
+        if state.hasTimedOut:
+            say("expired", len(have))
+            have = {}
+        else:
+            for r in pd.concat(list(frames)).sort_values(["seen", "frag_idx"]).itertuples():
+                if have and r.seen - first > max_age:
+                    say("expired", len(have))
+                    have = {}
+                if not have:
+                    first, total, size = float(r.seen), int(r.frag_total), int(r.chunk_len)
+                if (r.frag_total, r.chunk_len) != (total, size) or r.frag_idx >= total:
+                    continue
+                have[int(r.frag_idx)] = bytes(r.payload)
+                if len(have) == total:
+                    say("complete", total, b"".join(have[i] for i in range(total))[:size])
+                    have = {}
         if have:
             state.update((first, total, size, list(have), list(have.values())))
+            state.setTimeoutTimestamp(max(int((first + max_age) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame({"chunk_id": [d[0] for d in done], "frags": [d[1] for d in done], "bytes": [len(d[2]) for d in done], "data": [d[2] for d in done]})
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return stream.groupBy("chunk_id").applyInPandasWithState(push, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("at", delay).withColumn("seen", F.unix_micros("at") / 1e6)
+    return timed.groupBy(*KEYS).applyInPandasWithState(push, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there and give the result; it is written to the checkpoint folder, not held by the driver."""
-    import uuid
+def counters(events: DataFrame) -> DataFrame:
+    """One row: chunks that were completed, their bytes, partials that expired, and their fragments."""
+    done = F.col("event") == "complete"
+    return events.agg(
+        F.count_if(done).alias("chunks_completed"),
+        F.coalesce(F.sum(F.when(done, F.col("bytes"))), F.lit(0)).alias("bytes_completed"),
+        F.count_if(~done).alias("partials_expired"),
+        F.coalesce(F.sum(F.when(~done, F.col("frags"))), F.lit(0)).alias("fragments_expired"),
+    )
 
-    from lacuna.sources.persist import checkpoint_dir
 
+def run_once(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there and give the result; it is written to the shared folder, not held by the driver."""
     spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = f"{new_path(spark)}-{name}-{uuid.uuid4().hex[:8]}"
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():

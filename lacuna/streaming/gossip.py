@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.sources.persist import checkpoint
+from lacuna.sources.persist import stored
 
 
 def ring(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     """(key, peer) with places 0, 1, ... in order of the distinct keys, and their number; counted range by range, not in one task."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    x = checkpoint(keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()))
+    x = stored(keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()))
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     sizes = dict(x.groupBy(part.alias("part")).count().collect())
     before = [0]
@@ -31,9 +31,9 @@ def step(have: DataFrame, peers: int, most: int = 64) -> DataFrame:
 
 def simulate(have: DataFrame, peers: int, rounds: int) -> DataFrame:
     """(round, peer, n): ids known after each round; rounds are written, so lineage stays short."""
-    now = checkpoint(have)
+    now = stored(have)
     out = now.groupBy("peer").agg(F.count("*").alias("n")).select(F.lit(0).alias("round"), "peer", "n")
     for r in range(1, rounds + 1):
-        now = checkpoint(step(now, peers))
+        now = stored(step(now, peers))
         out = out.union(now.groupBy("peer").agg(F.count("*").alias("n")).select(F.lit(r), "peer", "n"))
     return out

@@ -1,5 +1,7 @@
 """Modem, frames, datagrams and gossip."""
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,6 +55,30 @@ def test_published_control_and_ids(spark):
     assert bytes(row["i"]).hex() == "6bb7b5784127a1326e5129ef8c658ce7" and row["a"] == row["b"]
 
 
+def test_stream_keeps_contents_apart_and_drops_old_partials(spark, tmp_path):
+    """Two contents use one chunk id; a partial without a successor is dropped by the watermark."""
+    from lacuna.streaming import assembly
+
+    schema = "content_id string, chunk_id long, frag_idx int, frag_total int, chunk_len long, payload binary, at timestamp"
+    t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    part = lambda c, i, n, p, s: (c, 7, i, n, 100, bytearray(p), t(s))
+    batches = [
+        [part("a", 0, 2, b"a0", 0), part("b", 0, 2, b"b0", 0), part("c", 0, 3, b"c0", 0), part("d", 0, 2, b"d0", 0)],
+        [part("b", 1, 2, b"b1", 2), part("a", 1, 2, b"a1", 3), part("a", 1, 2, b"a1", 3), part("d", 1, 2, b"d1", 9)],
+        [part("e", 0, 1, b"e0", 60)],
+        [part("f", 0, 1, b"f0", 61)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in")
+    events = assembly.run_once(assembly.assemble(s, max_age=5), "test").collect()
+    done = {r["content_id"]: bytes(r["data"]) for r in events if r["event"] == "complete"}
+    assert done == {"a": b"a0a1", "b": b"b0b1", "e": b"e0", "f": b"f0"}
+    late = sorted((r["content_id"], r["frags"]) for r in events if r["event"] == "expired")
+    # a's duplicate came after its chunk was whole and opened a partial; d's first was dropped by its second, that one by the watermark
+    assert late == [("a", 1), ("c", 1), ("d", 1), ("d", 1)]
+
+
 def test_assembly_order_and_duplicates(spark):
     c = spark.createDataFrame([(bytearray(16), k, bytearray(f"payload {k} ".encode() * 20)) for k in range(3)], "content_id binary, chunk_id long, data binary")
     f = T.fragments(c, 64)
