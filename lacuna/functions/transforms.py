@@ -30,15 +30,19 @@ def zigzag(n: int) -> np.ndarray:
 
 
 def quant_table(block: int, quality: int) -> np.ndarray:
-    """Scaled table of block x block steps; other sizes than 8 interpolate the base table along both axes."""
-    q = int(min(100, max(1, quality)))
-    scale = 5000 // q if q < 50 else 200 - 2 * q
+    """Steps of block x block coefficients: the base table scaled by quality.
+
+    For other sizes than 8 the format stretches the base table itself along both axes and leaves it unscaled.
+    """
     base = np.array(LUMINANCE, float).reshape(8, 8)
     if block != 8:
-        at = np.linspace(0, 7, block)
-        rows = np.stack([np.interp(at, np.arange(8), r) for r in base])
-        base = np.rint(np.stack([np.interp(at, np.arange(8), c) for c in rows.T]).T)
-    return np.maximum(1, np.floor((base * scale + 50) / 100))
+        at, cells = np.linspace(0, 7, block), np.arange(8)
+        tall = np.stack([np.interp(at, cells, c) for c in base.T], 1).astype(np.float32)
+        wide = np.stack([np.interp(at, cells, r) for r in tall]).astype(np.float32)
+        return np.clip(np.rint(wide), 1, 32767).astype(float)
+    q = min(100, max(1, int(quality)))
+    scale = 5000 / q if q < 50 else 200 - 2 * q
+    return np.clip(np.floor((base * scale + 50) / 100), 1, 32767)
 
 
 def rint(x: np.ndarray) -> np.ndarray:
@@ -70,32 +74,50 @@ def frame_count(n: int, n_fft: int, hop: int) -> int:
 
 
 def root_hann(n: int) -> np.ndarray:
-    return np.sqrt(0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)))
+    return np.sqrt(np.hanning(n))
+
+
+def _places(m: int, n_fft: int, hop: int) -> np.ndarray:
+    """Sample of each place of each of m frames."""
+    return np.arange(m)[:, None] * hop + np.arange(n_fft)
 
 
 def stft(x: np.ndarray, n_fft: int, hop: int) -> np.ndarray:
+    """Spectra of windowed frames, not scaled; the end is padded with zeros."""
     m = frame_count(len(x), n_fft, hop)
-    padded = np.zeros((m - 1) * hop + n_fft if m else 0)
-    padded[: len(x)] = x[: len(padded)]
     if not m:
         return np.zeros((0, n_fft // 2 + 1), complex)
-    frames = np.stack([padded[i * hop : i * hop + n_fft] for i in range(m)])
-    return np.fft.rfft(frames * root_hann(n_fft), axis=1)
+    padded = np.zeros((m - 1) * hop + n_fft)
+    padded[: len(x)] = x[: len(padded)]
+    return np.fft.rfft(padded[_places(m, n_fft, hop)] * root_hann(n_fft), axis=1)
 
 
 def istft(spec: np.ndarray, n: int, n_fft: int, hop: int) -> np.ndarray:
-    """Overlap-add with the same window; samples without weight stay 0."""
-    w = root_hann(n_fft)
-    out = np.zeros(max(n, (len(spec) - 1) * hop + n_fft if len(spec) else 0))
-    weight = np.zeros_like(out)
-    for i, f in enumerate(np.fft.irfft(spec, n_fft, axis=1)):
-        out[i * hop : i * hop + n_fft] += f * w
-        weight[i * hop : i * hop + n_fft] += w * w
-    return (out / np.maximum(weight, 1e-8))[:n]
+    """Overlapping windowed frames summed and divided by the sum of squared windows; samples without weight stay 0."""
+    m, w = len(spec), root_hann(n_fft)
+    at, length = _places(m, n_fft, hop).ravel(), max(n, (m - 1) * hop + n_fft if m else 0)
+    total = np.bincount(at, (np.fft.irfft(spec, n_fft, axis=1) * w).ravel(), length)
+    return (total / np.maximum(np.bincount(at, np.tile(w * w, m), length), 1e-8))[:n]
 
 
 def audio_steps(bins: int, quality: int, n_fft: int) -> np.ndarray:
-    return max(1.0, (120 - quality) / 20) / n_fft * (1 + np.arange(bins) / max(1, bins - 1))
+    """Steps of spectra that are divided by n_fft."""
+    q = min(100, max(1, int(quality)))
+    return max(1.0, (120 - q) / 20) / n_fft * (1 + np.arange(bins) / max(1, bins - 1))
+
+
+def audio_coefficients(x: np.ndarray, quality: int, n_fft: int, hop: int) -> np.ndarray:
+    """(channel, frame, bin, real and imaginary part) of (n, channels) samples in steps, rounded half-even, not clipped."""
+    s = np.stack([stft(c.astype(float), n_fft, hop) for c in x.T]) / n_fft / audio_steps(n_fft // 2 + 1, quality, n_fft)
+    return rint(np.stack([s.real, s.imag], -1))
+
+
+def audio_of(q: np.ndarray, n: int, quality: int, n_fft: int, hop: int) -> np.ndarray:
+    """(n, channels) samples from the first bins of audio_coefficients()."""
+    full = np.zeros((*q.shape[:2], n_fft // 2 + 1), complex)
+    full[:, :, : q.shape[2]] = q[..., 0] + 1j * q[..., 1]
+    full *= audio_steps(n_fft // 2 + 1, quality, n_fft) * n_fft
+    return np.stack([istft(c, n, n_fft, hop) for c in full], 1)
 
 
 def coarse_samples(n: int, most: int) -> np.ndarray:
@@ -116,32 +138,40 @@ def lerp(coarse: np.ndarray, n: int) -> np.ndarray:
 
 # --- shifts -----------------------------------------------------------------------------------
 
-
-def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[tuple[int, ...], float]:
-    """Displacement of b against a by normalised cross-power; the first largest peak counts, signed."""
-    cross = np.fft.fftn(a) * np.conj(np.fft.fftn(b))
-    corr = np.fft.ifftn(cross / np.maximum(np.abs(cross), 1e-12)).real
-    at = np.unravel_index(int(np.argmax(corr)), corr.shape)
-    return tuple(int(p - s if p > s // 2 else p) for p, s in zip(at, corr.shape, strict=True)), float(corr[at])
+#: Peaks below the first are noise; the second guards the division by a vanishing spectrum.
+LEAST_PEAK, LEAST_SPECTRUM = 0.15, 1e-12
 
 
-def gauge_shift(a: np.ndarray, b: np.ndarray, least_peak: float = 0.15, most: int | None = None, window: bool = False) -> tuple[int, ...]:
-    """phase_shift of demeaned maps, 0 where the peak is weak, clipped to half the extent and ``most``."""
+def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[tuple[int, ...], float]:
+    """Displacement of b against a and its peak: the inverse transform of the phases of their cross spectrum has its
+    first largest value there; places past the middle count as negative."""
+    phases = np.fft.fftn(a) * np.fft.fftn(b).conj()
+    surface = np.fft.ifftn(phases / np.maximum(abs(phases), LEAST_SPECTRUM)).real
+    best = surface.argmax()
+    extent = np.array(surface.shape)
+    place = np.array(np.unravel_index(best, surface.shape))
+    return tuple(np.where(place > extent // 2, place - extent, place).tolist()), float(surface.flat[best])
+
+
+def gauge_shift(a: np.ndarray, b: np.ndarray, least_peak: float = LEAST_PEAK, most: int | None = None, window: bool = False) -> tuple[int, ...]:
+    """phase_shift of demeaned maps, 0 where the peak is weak, held within half the extent and ``most``; the window
+    is a Hann window along each axis (where every axis has more than one place)."""
     a, b = a - a.mean(), b - b.mean()
-    if window:
-        w = np.hanning(len(a))
-        a, b = a * w, b * w
+    if window and min(a.shape) > 1:
+        for axis, n in enumerate(a.shape):
+            w = np.hanning(n).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+            a, b = a * w, b * w
     shift, peak = phase_shift(a, b)
     if not np.isfinite(peak) or peak < least_peak:
         return (0,) * a.ndim
-    limits = [min(s // 2, most) if most is not None else s // 2 for s in a.shape]
-    return tuple(int(np.clip(s, -m, m)) for s, m in zip(shift, limits, strict=True))
+    limit = np.array(a.shape) // 2 if most is None else np.minimum(np.array(a.shape) // 2, max(0, most))
+    return tuple(np.clip(shift, -limit, limit).tolist())
 
 
-def shifted(x: np.ndarray, by: int) -> np.ndarray:
-    """Zero-filled shift along the first axis: out[i] = x[i - by]."""
-    out = np.zeros_like(x)
-    n = len(x)
-    if abs(by) < n:
-        out[max(0, by) : n + min(0, by)] = x[max(0, -by) : n - max(0, by)]
-    return out
+def shifted(x: np.ndarray, by: int, axis: int = 0) -> np.ndarray:
+    """Zero-filled shift along an axis: out[i] = x[i - by]."""
+    n = x.shape[axis]
+    moved = np.roll(x, by, axis)
+    gone = np.arange(n) - by
+    outside = ((gone < 0) | (gone >= n)).reshape([-1 if i == axis else 1 for i in range(x.ndim)])
+    return np.where(outside, np.zeros((), x.dtype), moved)

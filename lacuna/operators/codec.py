@@ -78,30 +78,24 @@ def encode_audio(x: np.ndarray, rate: int, version: int = 3, blocks: int = 16, k
     n, ch = x.shape
     hop = hop or n_fft // 2
     net = C.get(model if version == 3 else "downsample", "audio")
-    options = {"coarse_len": coarse_max_frames, "quality": quality, "n_fft": n_fft, "hop": hop}
+    options = {"coarse_len": max(2, coarse_max_frames), "quality": quality, "n_fft": n_fft, "hop": hop}
     payload = net.encode(x, **options)
-    kept = min(n, coarse_max_frames)
+    kept = n if model == "latent_lowfreq" and version == 3 else min(n, max(2, coarse_max_frames))
     residual = x.astype(np.int32) - net.decode(payload, x.shape, **options)
-    clipped = False
+    q = T.audio_coefficients(residual, quality, n_fft, hop).ravel() if version == 3 else residual.ravel()
+    clipped = bool(((q > 32767) | (q < -32768)).any())
+    vec = np.clip(q, -32768, 32767).astype(np.int16)
     if version == 3:
-        steps = T.audio_steps(n_fft // 2 + 1, quality, n_fft)
-        s = np.stack([T.stft(residual[:, c].astype(float), n_fft, hop) / steps for c in range(ch)])
-        q = T.rint(np.stack([s.real, s.imag], -1)).ravel()
         name = model.lower().encode()
-        payload = struct.pack(">4sBBBBII", B.COARSE_AUDIO, 1, quality, 0, len(name), n_fft, hop) + name + payload
-    else:
-        q = residual.ravel()
-    clipped = bool((np.abs(q) > 32767).any())
-    vec = np.clip(q, -32768, 32767).astype(np.int16)
+        payload = struct.pack(">4sBBBBII", B.COARSE_AUDIO, 2, min(100, max(1, quality)), int(clipped), len(name), n_fft, hop) + name + payload
     m = max(1, min(blocks_for(vec.nbytes, len(payload), kb, None, blocks), len(vec)))
     slices = [vec[b::m] for b in range(m)] if version == 1 else G.split(vec, m)
     energy = [float((s.astype(np.int64) ** 2).sum()) for s in slices]
     order = sorted(range(m), key=lambda b: -energy[b]) if version == 3 else range(m)
-    packed = zlib.compress(payload, 9) if version != 3 else payload
     out = []
     for rank, b in enumerate(order):
         raw = zlib.compress(slices[b].astype("<i2").tobytes(), 9)
-        out.append((f"chunk_{rank:04d}.bin", B.AUDIO_HEADER.pack(B.AUDIO, version, ch, 2, int(clipped), rate, n, m, b, kept, len(packed), len(raw)) + packed + raw, energy[b]))
+        out.append((f"chunk_{rank:04d}.bin", B.AUDIO_HEADER.pack(B.AUDIO, version, ch, 2, int(clipped), rate, n, m, b, kept, len(payload), len(raw)) + payload + raw, energy[b]))
     return out + (_coded(2, version, [s.astype("<i2").tobytes() for s in slices], overhead, seed) if overhead else [])
 
 
@@ -129,8 +123,9 @@ class Field:
                 return "downsample", quality, block, 0, self.coarse[16 : 16 + n]
             _, _, block, quality, _, _, _, n, k = struct.unpack(">4sBBBBHHIB", self.coarse[:17])
             return self.coarse[17 : 17 + k].decode(), quality, block, 0, self.coarse[17 + k : 17 + k + n]
-        _, _, quality, _, k, n_fft, hop = struct.unpack(">4sBBBBII", self.coarse[:16])
-        return self.coarse[16 : 16 + k].decode(), quality, n_fft, hop, self.coarse[16 + k :]
+        _, version, quality, _, k, n_fft, hop = struct.unpack(">4sBBBBII", self.coarse[:16])
+        k = 0 if version == 1 else k  # the first version has no name
+        return self.coarse[16 : 16 + k].decode() or "downsample", quality, n_fft, max(1, hop), self.coarse[16 + k :]
 
 
 def parse_chunk(data: bytes):
@@ -149,8 +144,6 @@ def parse_chunk(data: bytes):
         if v not in (1, 2, 3) or n <= 0 or b >= n or at + cl + rl > len(data):
             return None
         coarse = data[at : at + cl]
-        if kind == "audio" and v != 3:
-            coarse = zlib.decompress(coarse)
         raw = zlib.decompress(data[at + cl : at + cl + rl])
         return kind, v, shape, rate, n, b, coarse, np.frombuffer(raw[: len(raw) // 2 * 2], "<i2")
     except (zlib.error, struct.error):
@@ -219,19 +212,25 @@ def _restore(f: Field, slices: dict, missing: list[int], coded: list[dict]) -> d
     return {} if x is None else {b: np.frombuffer(r.tobytes(), "<i2") for b, r in zip(missing, x, strict=True)}
 
 
-def render(f: Field, vec: np.ndarray | None = None) -> np.ndarray:
-    """uint8 image (v3 truncated) or int16 sound (half-even) of a field; ``vec`` replaces its coefficients."""
+def coarse_of(f: Field) -> np.ndarray:
+    """The coarse part of a field at full size."""
+    if f.version != 3:
+        return C.get("downsample", f.kind).decode(f.coarse, f.shape)
+    model, quality, block, hop, payload = f.meta()
+    return C.get(model, f.kind).decode(payload, f.shape, quality=quality, dct_block=block, n_fft=block, hop=hop)
+
+
+def render(f: Field, vec: np.ndarray | None = None, base: np.ndarray | None = None) -> np.ndarray:
+    """uint8 image (v3 truncated) or int16 sound (half-even) of a field; ``vec`` replaces its coefficients, ``base`` its coarse part."""
     v = (f.vec if vec is None else vec).astype(float)
+    base = coarse_of(f) if base is None else base
     if f.version == 3:
-        model, quality, block, hop, payload = f.meta()
-        base = C.get(model, f.kind).decode(payload, f.shape, quality=quality, dct_block=block, n_fft=block, hop=hop)
+        _, quality, block, hop, _ = f.meta()
         if f.kind == "image":
             return np.clip(np.round(base + C.image_of(v, f.shape, quality, block), 9), 0, 255).astype(np.uint8)
         n, ch = f.shape
-        s = v.reshape(ch, -1, block // 2 + 1, 2) * T.audio_steps(block // 2 + 1, quality, block)[:, None]
-        x = np.stack([T.istft(c[..., 0] + 1j * c[..., 1], n, block, hop) for c in s], 1)
-        return np.clip(T.rint(base + x), -32768, 32767).astype(np.int16)
-    base = C.get("downsample", f.kind).decode(f.coarse, f.shape)
+        x = T.audio_of(v.reshape(ch, -1, block // 2 + 1, 2), n, quality, block, hop)
+        return np.clip(base.astype(np.int32) + T.rint(x), -32768, 32767).astype(np.int16)
     x = base.astype(np.int32) + v.reshape(f.shape).astype(np.int32)
     return np.clip(x, 0, 255).astype(np.uint8) if f.kind == "image" else np.clip(x, -32768, 32767).astype(np.int16)
 
@@ -266,7 +265,7 @@ def heal(chunks: list[Chunk], kb: int = 32, honest: bool = False, **options) ->
     if f.version != 3:
         a = render(f)
         if honest:
-            base = C.get("downsample", f.kind).decode(f.coarse, f.shape)
+            base = coarse_of(f)
             c = confidence(f)
             c = np.kron(c, np.ones((8, 8)))[: f.shape[0], : f.shape[1], None] if f.kind == "image" else c[:, None]
             a = np.rint(base + (a.astype(float) - base) * c).astype(a.dtype)
@@ -322,31 +321,45 @@ def error(a: np.ndarray, b: np.ndarray, metric: str = "mse", peak: float = 255.0
     return mse
 
 
-def stack(fields: list[Field], align: bool = True, least_peak: float = 0.15, most: int | None = None) -> np.ndarray:
-    """Several fields of one scene: coefficient means over what is present (all v3 and alike), else plain means."""
+def _gauge_view(f: Field, base: np.ndarray) -> np.ndarray:
+    """What fields are aligned by: the block map of a coarse image's grey, or the envelope of a coarse sound's frames."""
+    _, _, block, hop, _ = f.meta()
+    if f.kind == "image":
+        h, w, _ = f.shape
+        grey = np.pad(base.astype(float).mean(2), ((0, -h % block), (0, -w % block)), mode="edge")
+        return grey.reshape(grey.shape[0] // block, block, -1, block).mean((1, 3))
+    loud = np.r_[0.0, np.cumsum(np.abs(base.astype(float)).mean(1))]
+    start = np.minimum(np.arange(T.frame_count(len(base), block, hop)) * hop, len(base))
+    end = np.minimum(start + block, len(base))
+    return (loud[end] - loud[start]) / np.maximum(end - start, 1)
+
+
+def stack(fields: list[Field], align: bool = True, least_peak: float = T.LEAST_PEAK, most: int | None = None) -> np.ndarray:
+    """Several fields of one scene.  Version 3 throughout: means of the coarse parts and of the coefficients over what is
+    present, each field moved by whole blocks or frames to where its coarse view fits the first's; fields of another
+    geometry are left out.  Else plain means."""
     first = fields[0]
-    alike = [f for f in fields if f.version == 3 and f.kind == first.kind and f.shape == first.shape and f.meta()[2:4] == first.meta()[2:4]] if first.version == 3 else []
-    if len(alike) == len(fields):
+    if all(f.version == 3 and f.kind == first.kind for f in fields):
         _, _, block, hop, _ = first.meta()
-        total, weight = np.zeros(first.vec.shape), np.zeros(first.vec.shape)
-        if first.kind == "image":
-            h, w, c = first.shape
-            grid = (c, -(-h // block), -(-w // block), block * block)
-        else:
-            grid = (first.shape[1], T.frame_count(first.shape[0], block, hop), (block // 2 + 1) * 2)
-        ref = None
-        for f in alike:
-            v, m = f.vec.reshape(grid).astype(float), f.mask.reshape(grid).astype(float)
-            if align:
-                view = np.abs(v[..., 0]).mean(0) if first.kind == "image" else np.abs(v).sum(-1).mean(0)
-                if ref is None:
-                    ref = view
-                else:
-                    for axis, by in enumerate(T.gauge_shift(ref, view, least_peak, most, window=first.kind == "audio")):
-                        v, m = (np.moveaxis(T.shifted(np.moveaxis(z, 1 + axis, 0), by), 0, 1 + axis) for z in (v, m))
-            total += (v * m).ravel()
-            weight += m.ravel()
-        return render(first, np.divide(total, weight, out=np.zeros_like(total), where=weight > 0))
+        axes, unit = (2, block) if first.kind == "image" else (1, hop)
+        vec, weight, base, seen, view = 0.0, 0.0, 0.0, 0.0, None
+        for f in fields:
+            if (f.shape, f.rate, *f.meta()[2:4]) != (first.shape, first.rate, block, hop):
+                continue
+            own = coarse_of(f)
+            grid = (f.shape[2], -(-f.shape[0] // block), -(-f.shape[1] // block), -1) if f.kind == "image" else (f.shape[1], T.frame_count(f.shape[0], block, hop), -1)
+            v, m, there = f.vec.reshape(grid).astype(float), f.mask.reshape(grid).astype(float), np.ones(f.shape[:axes])
+            by = (0,) * axes
+            if view is None:
+                view = _gauge_view(f, own)
+            elif align:
+                by = T.gauge_shift(view, _gauge_view(f, own), least_peak, most, window=True)
+            own = own.astype(float)
+            for axis, b in enumerate(by):
+                v, m = T.shifted(v, b, axis + 1), T.shifted(m, b, axis + 1)
+                own, there = T.shifted(own, b * unit, axis), T.shifted(there, b * unit, axis)
+            vec, weight, base, seen = vec + v * m, weight + m, base + own * there[..., None], seen + there
+        return render(first, (vec / np.maximum(weight, 1)).ravel(), base / np.maximum(seen, 1)[..., None])
     shown = [render(f).astype(float) for f in fields if f.kind == first.kind and f.rate == first.rate]
     if first.kind == "image":
         return np.mean([s for s in shown if s.shape == shown[0].shape], axis=0).astype(np.uint8)

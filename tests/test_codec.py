@@ -7,6 +7,7 @@ from lacuna.functions import bytes as B
 from lacuna.functions import gf256, transforms
 from lacuna.functions import golden_np as G
 from lacuna.operators import codec as C
+from lacuna.operators import coarse, packed
 from lacuna.operators.recovery import pack_recovery, unpack_recovery
 from lacuna.sources import media
 
@@ -44,6 +45,95 @@ def test_errors_fall_with_more_chunks():
     assert all(p >= q - 1e-9 for p, q in zip(e, e[1:]))
 
 
+@pytest.mark.parametrize("quality", [10, 25, 49, 50, 90])
+@pytest.mark.parametrize("block", [4, 8, 16])
+def test_images_at_all_qualities_and_block_sizes(quality, block):
+    a = noise(32, 32, 11)
+    chunks = C.encode_image(a, 3, blocks=12, quality=quality, dct_block=block, coarse_max_side=10)
+    e = [C.error(a, C.render(C.gather(chunks, most=k)), "psnr") for k in (1, 3, 6, 12)]
+    # the floor of quality 10 at 8 x 8 blocks is what its steps of up to 605 leave of noise
+    assert all(q >= p - 1e-6 for p, q in zip(e, e[1:])) and e[-1] > (11 if (block, quality) == (8, 10) else 14)
+
+
+@pytest.mark.parametrize("quality,n_fft", [(1, 64), (30, 64), (60, 128)])
+def test_spectral_sounds_are_not_clipped(quality, n_fft):
+    x = tone(220, 1024, 9000)
+    chunks = C.encode_audio(x, 8000, blocks=8, quality=quality, n_fft=n_fft, coarse_max_frames=128)
+    f = C.gather(chunks)
+    signal, noise_ = (float((v.astype(float) ** 2).sum()) for v in (x, C.render(f).astype(float)[1:-n_fft] - x[1:-n_fft]))
+    assert np.abs(f.vec).max() < 32767 and 10 * np.log10(signal / max(noise_, 1e-9)) > 60
+    assert all(d[7] == 0 and f.coarse[4] == 2 and f.coarse[6] == 0 for _, d, _ in chunks)
+    loud = np.where(np.arange(2048) % 2, 32767, -32768).astype(np.int16).reshape(-1, 1)
+    burst = C.encode_audio(loud, 8000, blocks=4, quality=100, n_fft=2048, coarse_max_frames=2)
+    assert burst[0][1][7] == C.gather(burst).coarse[6] == int(np.abs(C.gather(burst).vec.astype(int)).max() >= 32767)
+
+
+@pytest.mark.parametrize("name", ["downsample", "latent_lowfreq", "ae_latent"])
+def test_coarse_models(name):
+    a, x = noise(24, 20, 3), tone(220, 1024, 900)
+    whole = C.render(C.gather(C.encode_image(a, 3, blocks=8, model=name, quality=90)))
+    assert C.error(a, whole, "psnr") > 25
+    chunks = C.encode_audio(x, 8000, blocks=8, n_fft=128, model=name)
+    assert C.error(x[1:-128], C.render(C.gather(chunks))[1:-128]) < 2
+    assert C.gather(chunks).meta()[0] == name
+
+
+def test_latent_weights(tmp_path):
+    r = np.random.default_rng(0)
+    flat = [np.repeat(np.repeat(r.integers(0, 256, (2, 2, 3)), 8, 0), 8, 1).astype(np.uint8) for _ in range(40)]
+    model = coarse.LatentImage({"input_shape": np.array([4, 4, 3])})
+    weights = coarse.train_latent(np.stack([model.view(a) for a in flat]), 12, (4, 4, 3))
+    np.savez(tmp_path / "w.npz", **weights)
+    model.load(str(tmp_path / "w.npz"))
+    payload = model.encode(flat[0])
+    n, k = model.HEADER.unpack_from(payload)
+    assert k and len(payload) == 8 + n + k
+    plain = coarse.LatentImage()
+    assert np.abs(model.decode(payload, (16, 16, 3)) - flat[0].astype(int)).mean() < 40
+    assert (plain.decode(payload, (16, 16, 3)) == coarse.get("downsample", "image").decode(payload[8 : 8 + n], (16, 16, 3))).all()
+    model.load(str(tmp_path / "none.npz"))
+    assert model.weights is None
+    with pytest.raises(ValueError):
+        plain.decode(payload[:12], (16, 16, 3))
+
+
+def test_stack_aligns_on_the_coarse_view():
+    r = np.random.default_rng(6)
+    scene = np.kron(r.integers(0, 256, (12, 12, 1)), np.ones((8, 8, 3))).astype(np.uint8)
+    moved = np.roll(scene, (8, -16), (0, 1))
+    fields = [C.gather(C.encode_image(a, 3, blocks=6, quality=90, coarse_max_side=96)) for a in (scene, moved)]
+    together = C.stack(fields).astype(int)
+    assert np.abs(together - scene)[16:-16, 16:-16].mean() < 3 < np.abs(C.stack(fields, align=False).astype(int) - scene)[16:-16, 16:-16].mean()
+
+
+def test_packed_objects():
+    a, b, x = noise(24, 16, 1), noise(9, 30, 2), tone(330, 700, 8000)
+    files = packed.pack([("image", a, 0), ("audio", x, 8000), ("image", b, 0)], blocks=9)
+    for place, want in enumerate((a, x, b)):
+        kind, got, rate = packed.unpack(files, place)
+        assert (got == want).all() and rate == (8000 if kind == "audio" else 0)
+    left = {n: d for n, d in files.items() if not n.startswith("chunk_") or int(n[6:10]) % 3}
+    assert len(left) < len(files) and 0 < C.error(a, packed.unpack(left, 0)[1]) < C.error(a, np.zeros_like(a))
+    broken = files | {"chunk_0000.bin": b"junk", "chunk_0001.bin": files["chunk_0001.bin"][:-3]}
+    assert packed.unpack(broken, 0)[1].shape == a.shape
+    for bad in (b"", b"HOPK", files["chunk_0000.bin"][:20], b"HOCH" + files["chunk_0000.bin"][4:]):
+        assert packed.parse(bad) is None
+    with pytest.raises(IndexError):
+        packed.unpack(files, 3)
+    with pytest.raises(ValueError):
+        packed.pack([])
+
+
+def test_packed_tables(spark):
+    a, x = noise(8, 8, 1), tone(330, 300, 8000)
+    rows = [(p, i, k, list(v.shape), r, bytearray(v.tobytes())) for p in (1, 2) for i, (k, v, r) in enumerate((("image", a, 0), ("audio", x, 8000)))]
+    objects = spark.createDataFrame(rows, packed.OBJECTS)
+    back = packed.unpack_objects(packed.pack_objects(objects, blocks=5))
+    key = lambda r: (r["pack"], r["place"])
+    assert sorted(back.collect(), key=key) == sorted(objects.collect(), key=key)
+    assert packed.unpack_objects(packed.pack_objects(objects, blocks=5).where("name != 'manifest.json'")).count() == 0
+
+
 def test_transform_quality_and_size():
     a = noise(24, 24, 10)
     assert C.error(a, C.render(C.gather(C.encode_image(a, 3, blocks=10, quality=50, coarse_max_side=8))), "psnr") > 20
