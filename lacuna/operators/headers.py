@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import bytes as B
@@ -44,9 +44,10 @@ def parse_audio(df: DataFrame) -> DataFrame:
 
 
 def same_geometry(df: DataFrame, field: str, order: str, geometry: list[str]) -> DataFrame:
-    """Rows whose geometry equals that of the field's first row."""
-    first = F.min(F.struct(order, *geometry)).over(Window.partitionBy(field))
-    return df.withColumn("__f", first).where(F.struct(*geometry).eqNullSafe(F.struct(*[F.col(f"__f.{g}") for g in geometry]))).drop("__f")
+    """Rows whose geometry equals that of the field's first row, which is found by an aggregate and joined back."""
+    first = df.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("__field")).agg(F.min_by(F.struct(*geometry), order).alias("__f"))
+    same = F.struct(*geometry).eqNullSafe(F.col("__f"))
+    return df.join(first, F.col(field) == F.col("__field")).where(same).drop("__f", "__field")
 
 
 def mode_of_name(name: Column) -> Column:

@@ -72,8 +72,10 @@ def content_weight(age: Column, bias: float) -> Column:
 
 
 def weighted_choice(df: DataFrame, group: str, weight: str, seed: int) -> DataFrame:
-    """One row a group: the least of -log(u) / weight over uniform u is drawn in proportion to weight."""
-    key = -F.log(F.rand(seed)) / F.col(weight)
+    """One row a group: the least of -log(u) / weight over uniform u is drawn in proportion to weight; u is a hash of the seed and the row."""
+    names = [F.col(c).cast("string") for c in df.columns]
+    u = (F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key = -F.log(u) / F.col(weight)
     return df.withColumn("__e", key).withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy("__e"))).where("__k = 1").drop("__e", "__k")
 
 

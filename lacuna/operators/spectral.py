@@ -86,17 +86,19 @@ def coarse(sig: DataFrame, most: int) -> DataFrame:
 
     Samples kept: trunc(linspace(0, n - 1, L)); stretched by linspace(0, L - 1, n), half-even.
     """
-    s = sig.select("cid", "pos", "v", F.count("*").over(Window.partitionBy("cid")).alias("n"))
+    s = sig.select("cid", "pos", "v", F.count("*").over(Window.partitionBy("cid")).cast("long").alias("n"))
     s = s.withColumn("L", F.greatest(F.lit(1), F.least("n", F.lit(most))).cast("long"))
     at = F.when(F.col("n") > 1, F.col("pos") * ((F.col("L") - 1) / (F.col("n") - 1))).otherwise(0.0)
     s = s.withColumn("at", F.round(at, 9)).withColumn("lo", F.floor("at"))
     s = s.withColumn("hi", F.least(F.col("lo") + 1, F.col("L") - 1))
     picked = lambda j: F.when(F.col("L") > 1, F.floor(F.round(j * ((F.col("n") - 1) / (F.col("L") - 1)), 9))).otherwise(0).cast("long")
-    s = s.withColumn("plo", picked(F.col("lo"))).withColumn("phi", picked(F.col("hi")))
-    v = sig.select("cid", F.col("pos").alias("p"), F.col("v").alias("w"))
-    s = s.join(v.withColumnsRenamed({"p": "plo", "w": "a"}), ["cid", "plo"]).join(v.withColumnsRenamed({"p": "phi", "w": "b"}), ["cid", "phi"])
+    # the field's kept samples, at most ``most`` of them, as one array beside each of its rows
+    j = F.when(F.col("n") > 1, F.col("pos") * ((F.col("L") - 1) / (F.col("n") - 1))).otherwise(0.0)
+    near = [F.least(F.floor(j) + i, F.col("L") - 1) for i in (0, 1)]
+    kept = F.when((picked(near[0]) == F.col("pos")) | (picked(near[1]) == F.col("pos")), F.struct("pos", "v"))
+    s = s.withColumn("track", F.transform(F.array_sort(F.collect_list(kept).over(Window.partitionBy("cid"))), lambda x: x["v"]))
     t = F.col("at") - F.col("lo")
-    c = F.rint(F.round(F.col("a") * (1 - t) + F.col("b") * t, 9)).cast("long")
+    c = F.rint(F.round(F.get("track", F.col("lo").cast("int")) * (1 - t) + F.get("track", F.col("hi").cast("int")) * t, 9)).cast("long")
     r = F.col("v") - c
     return s.select("cid", "pos", "v", c.alias("coarse"), F.greatest(F.least(r, F.lit(32767)), F.lit(-32768)).cast("long").alias("residual"), (F.abs(r) > 32767).alias("clipped"))
 

@@ -104,9 +104,9 @@ def serve(wanted: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def broadcast_plan(chunks: DataFrame, peers: DataFrame, repeats: int) -> DataFrame:
-    """Every chunk to every peer, ``repeats`` times; peers are a small dimension of known size."""
+    """Every chunk to every peer, ``repeats`` times: as many rows as there are datagrams to send."""
     r = chunks.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(max(1, repeats) - 1))))
-    return r.crossJoin(peers)
+    return r.join(peers)
 
 
 def upsert(stored: DataFrame, arriving: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -101,13 +101,14 @@ def decode_lossy(spark, d):
     return S.decode(s, s.select("cid", "block_id").distinct().where(S.survives(F.col("cid"), F.col("block_id")))).select("cid", "pos", "decoded", "present")
 
 
-@query(f"WITH {SLOTS} SELECT cid, count(*) AS n, TRUE AS exact FROM slot GROUP BY cid")
+@query(f"WITH {USER_SIGNAL} SELECT cid, count(*) AS n, list(v ORDER BY pos) AS vals FROM sig GROUP BY cid")
 def roundtrip_exact(spark, d):
-    """All chunks packed, unpacked and put back: every value must return."""
+    """All chunks packed, unpacked and put back: every value must return to its place."""
     s = _slots(spark, d)
     c = S.chunks(s).select("cid", "block_id", F.posexplode("vals").alias("slice_idx", "w"))
     back = s.join(c, ["cid", "block_id", "slice_idx"], "left")
-    return back.groupBy("cid").agg(F.count("*").alias("n"), F.bool_and(F.col("v").eqNullSafe(F.col("w"))).alias("exact"))
+    placed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])
+    return back.groupBy("cid").agg(F.count("*").alias("n"), placed.alias("vals"))
 
 
 @query(
@@ -118,11 +119,9 @@ FROM slot s JOIN ranked r USING (cid, block_id) CROSS JOIN k GROUP BY s.cid, k""
 )
 def mse_by_k(spark, d):
     """Error of the reconstruction from the k best chunks of each field."""
-    s = _slots(spark, d)
-    r = S.best(S.chunks(s), 1 << 30).select("cid", "block_id", "rank")
-    e = s.join(r, ["cid", "block_id"]).withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))))
-    lost = F.when(F.col("rank") <= F.col("k"), 0.0).otherwise(F.col("v") * F.col("v"))
-    out = e.groupBy("cid", "k").agg(F.avg(lost).alias("m"))
+    c = S.best(_chunks(spark, d).select("cid", "block_id", "score", "energy", F.size("vals").alias("n")), 1 << 30)
+    lost = [F.struct(F.lit(k).alias("k"), (F.sum(F.when(F.col("rank") > k, F.col("energy")).otherwise(0)) / F.sum("n")).alias("m")) for k in (1, 2, 4, 8)]
+    out = c.groupBy("cid").agg(F.array(*lost).alias("e")).select("cid", F.inline("e"))
     return out.select("cid", "k", F.round("m", 6).alias("mse"), F.when(F.col("m") == 0, F.lit(float("inf"))).otherwise(F.round(20 * F.log10(F.lit(32767.0)) - 10 * F.log10("m"), 6)).alias("psnr"))
 
 

@@ -10,7 +10,7 @@ from lacuna.operators import algebra as A
 from lacuna.operators import slicing as S
 from lacuna.operators import spectral as P
 from lacuna.plans.slicing import LOSSY, SLOTS, STEPS, _slots
-from lacuna.sources.tables import EMBEDDING_CELLS, USER_SIGNAL, embedding_cells, load, user_signal
+from lacuna.sources.tables import EMBEDDING_CELLS, USER_SIGNAL, embedding_blocks, embedding_cells, load, user_signal
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -27,12 +27,12 @@ def query(sql: str | None = None):
 
 N_FFT, HOP = 16, 8
 BASE = "[" + ", ".join(map(str, T.LUMINANCE)) + "]"
-SCALE = "(CASE WHEN {q} < 50 THEN 5000 // {q} ELSE 200 - 2 * {q} END)"
+SCALE = "(CASE WHEN {q} < 50 THEN 5000.0 / {q} ELSE 200 - 2 * {q} END)"
 
 
 def quant_sql(q: str, i: str) -> str:
     """Quantisation step of row-major cell i (from 0)."""
-    return f"greatest(1, floor(({BASE}[CAST({i} AS BIGINT) + 1] * {SCALE.format(q=q)} + 50) / 100))"
+    return f"greatest(1, floor(({BASE}[CAST({i} AS BIGINT) + 1] * {SCALE.format(q=q)} + 50) / 100.0))"
 
 
 ZIGZAG = "zz AS (SELECT y, x, CAST(row_number() OVER (ORDER BY y + x, CASE WHEN (y + x) % 2 = 0 THEN -y ELSE y END) - 1 AS INTEGER) AS k FROM (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS y), (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS x))"
@@ -49,12 +49,12 @@ px AS (SELECT cid, y, p AS x, {rounding}(least(greatest(round(sum(w * h), 9), 0)
 
 
 def _coded(spark, d):
-    return P.encode_blocks(P.blocks(embedding_cells(spark, d)))
+    return P.encode_blocks(embedding_blocks(spark, d))
 
 
-@query(f"SELECT q AS quality, CAST(i AS INTEGER) AS cell, CAST({quant_sql('q', 'i')} AS DOUBLE) AS step FROM (SELECT unnest([1, 10, 49, 50, 75, 100]) AS q), (SELECT unnest(range(0, 64)) AS i)")
+@query(f"SELECT q AS quality, CAST(i AS INTEGER) AS cell, CAST({quant_sql('q', 'i')} AS DOUBLE) AS step FROM (SELECT unnest([1, 7, 10, 25, 33, 49, 50, 75, 100]) AS q), (SELECT unnest(range(0, 64)) AS i)")
 def quant_tables(spark, d):
-    rows = [(q, i, float(v)) for q in (1, 10, 49, 50, 75, 100) for i, v in enumerate(T.quant_table(8, q).ravel())]
+    rows = [(q, i, float(v)) for q in (1, 7, 10, 25, 33, 49, 50, 75, 100) for i, v in enumerate(T.quant_table(8, q).ravel())]
     return spark.createDataFrame(rows, "quality int, cell int, step double")
 
 
@@ -85,14 +85,14 @@ def image_slice_energy(spark, d):
 
 @query(f"WITH {COEFS}, {inverse_sql('co', 'floor')} SELECT cid, round(avg((v - r) * (v - r)), 6) AS mse FROM px JOIN cell USING (cid, y, x) GROUP BY cid")
 def dct_roundtrip_mse(spark, d):
-    c = P.blocks(embedding_cells(spark, d))
+    c = embedding_blocks(spark, d)
     return A.block_error(c, P.render(P.encode_blocks(c)))
 
 
 @query(f"WITH {COEFS}, lf AS (SELECT * FROM co WHERE k < 6), {inverse_sql('lf', '')} SELECT cid, round(avg((v - round_even(r, 0)) * (v - round_even(r, 0))), 6) AS mse FROM px JOIN cell USING (cid, y, x) GROUP BY cid")
 def lowfreq_image_mse(spark, d):
     """The coarse model that keeps the first six zigzag coefficients."""
-    c = P.blocks(embedding_cells(spark, d))
+    c = embedding_blocks(spark, d)
     kept = P.encode_blocks(c).withColumn("coefs", F.transform("coefs", lambda q, k: F.when(k < 6, q).otherwise(F.lit(0).cast("long"))))
     return A.block_error(c, P.render(kept, rounding="nearest"))
 
@@ -155,19 +155,23 @@ def lowfreq_audio_share(spark, d):
     return _spec(spark, d).groupBy("cid").agg(F.round(F.sum(F.when(F.col("bin") < 4, e).otherwise(0.0)) / F.sum(e), 8).alias("share"))
 
 
-@query(f"WITH {SPEC}, q AS (SELECT cid, frame, bin, CAST(round_even(round(re / (2.0 * (1 + bin / 8.0)), 6), 0) AS BIGINT) AS a, CAST(round_even(round(im / (2.0 * (1 + bin / 8.0)), 6), 0) AS BIGINT) AS b FROM sp) SELECT cid, CAST(sum(least(greatest(a, -32768), 32767) * least(greatest(a, -32768), 32767) + least(greatest(b, -32768), 32767) * least(greatest(b, -32768), 32767)) AS BIGINT) AS energy, bool_or(abs(a) > 32767 OR abs(b) > 32767) AS clipped FROM q GROUP BY cid")
+QUALITY = 60
+STEP = f"(greatest(1.0, (120 - {QUALITY}) / 20.0) / {N_FFT} * (1 + bin / {N_FFT / 2}))"
+
+
+@query(f"WITH {SPEC}, q AS (SELECT cid, frame, bin, CAST(round_even(round(re / {N_FFT} / {STEP}, 6), 0) AS BIGINT) AS a, CAST(round_even(round(im / {N_FFT} / {STEP}, 6), 0) AS BIGINT) AS b FROM sp) SELECT cid, CAST(sum(least(greatest(a, -32768), 32767) * least(greatest(a, -32768), 32767) + least(greatest(b, -32768), 32767) * least(greatest(b, -32768), 32767)) AS BIGINT) AS energy, bool_or(abs(a) > 32767 OR abs(b) > 32767) AS clipped FROM q GROUP BY cid")
 def audio_coefficients(spark, d):
-    """Quantised spectra, real and imaginary parts interleaved, with the clip flag."""
-    s = _spec(spark, d).withColumn("step", 2.0 * (1 + F.col("bin") / 8.0))
-    q = lambda c: F.rint(F.round(F.col(c) / F.col("step"), 6)).cast("long")
+    """Spectra divided by the frame's length and quantised with the format's steps, with the clip flag."""
+    s = _spec(spark, d).withColumn("step", A.audio_step(F.col("bin"), N_FFT // 2 + 1, F.lit(QUALITY), N_FFT))
+    q = lambda c: F.rint(F.round(F.col(c) / N_FFT / F.col("step"), 6)).cast("long")
     clip = lambda c: F.greatest(F.least(c, F.lit(32767)), F.lit(-32768))
     s = s.select("cid", q("re").alias("a"), q("im").alias("b"))
     return s.groupBy("cid").agg(F.sum(clip(F.col("a")) * clip(F.col("a")) + clip(F.col("b")) * clip(F.col("b"))).alias("energy"), F.bool_or((F.abs("a") > 32767) | (F.abs("b") > 32767)).alias("clipped"))
 
 
-@query()
+@query(f"WITH {USER_SIGNAL}, {FRAMES} SELECT cid, pos, CASE WHEN pos = 0 OR pos = (m - 1) * {HOP} + {N_FFT - 1} THEN 0.0e0 ELSE CAST(v AS DOUBLE) END AS x FROM sig JOIN fc USING (cid)")
 def audio_roundtrip(spark, d):
-    """Spectra there and back: the largest error away from the first sample."""
+    """Spectra there and back: every sample returns, but for those on which no window has weight."""
     return A.audio_roundtrip(P.signals(user_signal(spark, d).select("cid", "pos", "v")), N_FFT, HOP)
 
 
@@ -295,10 +299,10 @@ def coarse_block_map(spark, d):
     return A.block_map(embedding_cells(spark, d), side=8, block=3)
 
 
-@query()
+@query("SELECT vec_id AS cid, CAST(2 AS INTEGER) AS dy, CAST(-1 AS INTEGER) AS dx FROM embeddings WHERE embedding IS NOT NULL")
 def gauge_shift_images(spark, d):
     """Displacement between the first vector of each label and a copy of it moved by a known shift."""
-    return A.shift_estimates(P.blocks(embedding_cells(spark, d)), by=(2, -1))
+    return A.shift_estimates(embedding_blocks(spark, d), by=(2, -1))
 
 
 @query()
@@ -308,7 +312,7 @@ def gauge_shift_audio(spark, d):
 
 TORSION = """RECURSIVE u AS (SELECT user_id AS cid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, value / 100 AS a, event_id % 5 / 5.0 AS b FROM events),
 f AS (SELECT cid, step, a AS a0, b AS b0, 0.05 * a AS x, 0.05 * b AS y, CAST(0 AS DOUBLE) AS k FROM u WHERE step = 1
-UNION ALL SELECT u.cid, u.step, u.a, u.b, f.x + 0.05 * ((u.a - f.x) + f.k * f.y), f.y + 0.05 * ((u.b - f.y) - f.k * f.x), (1 - 0.001) * f.k + 0.01 * (u.a * f.b0 - f.a0 * u.b) FROM f JOIN u ON u.cid = f.cid AND u.step = f.step + 1 WHERE u.step <= 20)"""
+UNION ALL SELECT u.cid, u.step, u.a, u.b, f.x + 0.05 * ((u.a - f.x) + f.k * f.y), f.y + 0.05 * ((u.b - f.y) - f.k * f.x), (1 - 0.001) * f.k + 0.01 * (u.a * f.b0 - f.a0 * u.b) FROM f JOIN u ON u.cid = f.cid AND u.step = f.step + 1)"""
 
 
 @query(f"WITH {TORSION} SELECT cid, step, round(0.5 * ((x - a0) * (x - a0) + (y - b0) * (y - b0)), 6) AS energy, round(x * x + y * y, 6) AS norm_x, round(2 * k * k, 6) AS norm_k FROM f")
