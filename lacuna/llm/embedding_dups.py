@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import checkpoint, components, salted_join
+from lacuna.llm.common import components, salted_join, stored as checkpoint
 
 CODE_BITS = 256
 BLOCK = 1024

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lacuna.llm.common import drop, map_arrow, small, stored
+
 #: Families of ISO 639-1 codes; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nb nn no sv yi",
@@ -45,14 +47,16 @@ def has_letter(text: str | None) -> bool:
 
 
 def features(text: str) -> np.ndarray:
-    """Unit vector of square roots of hashed n-gram counts; long texts are counted in steps."""
+    """Unit vector of square roots of hashed n-gram counts; long texts are counted in steps that overlap by the n-grams' length."""
     counts = np.zeros(DIMS, np.float32)
-    step = 1 << 19
-    for i in range(0, len(text), step):
-        b = _FOLD[np.frombuffer(text[i : i + step].lower().encode(), np.uint8)]
+    step, seam = 1 << 19, b""
+    for i in range(0, max(1, len(text)), step):
+        data = text[i : i + step].lower().encode()
+        b = _FOLD[np.frombuffer(seam + data, np.uint8)]
+        skip, seam = len(seam), (seam + data)[-2:]
         two = b[:-1] * np.uint32(257) + b[1:]
         three = two[:-1] * np.uint32(65599) + b[2:] * np.uint32(7919)
-        h2 = (two * np.uint32(2654435761)) >> np.uint32(21)
+        h2 = (two[max(0, skip - 1) :] * np.uint32(2654435761)) >> np.uint32(21)
         h3 = (three * np.uint32(2246822519)) >> np.uint32(21)
         counts += np.bincount(h2, minlength=DIMS).astype(np.float32) * np.float32(0.5)
         counts += np.bincount(h3, minlength=DIMS).astype(np.float32)
@@ -170,13 +174,11 @@ def held_out(key: str) -> F.Column:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 4000) -> LanguageModel | None:
     """Learn from at most about ``sample_rows`` labelled rows that are not held out."""
     usable = df.where(F.col(key).isNotNull() & ~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["count"] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(200).collect()}
-    if not counts:
-        return None
-    share = max(1, sample_rows // len(counts))
+    counts = stored(usable.groupBy(F.col(lang).alias("__l")).agg(F.count("*").alias("__n")))
+    share = F.greatest(F.lit(1.0), F.lit(float(sample_rows)) / F.greatest(F.lit(1), F.lit(counts.count())))
     die = F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))])
-    chosen = usable.where(die < F.element_at(rate, F.col(lang))).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    chosen = usable.join(small(counts.select("__l", (share / F.col("__n")).alias("__rate"))), F.col(lang) == F.col("__l"))
+    chosen = chosen.where(die < F.col("__rate")).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
 
     def run(batches):
         for b in batches:
@@ -188,32 +190,34 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             )
 
     kind = df.schema[key].dataType.simpleString()
-    rows = chosen.mapInArrow(run, f"k {kind}, l string, v binary").limit(2 * sample_rows).collect()
+    order = F.xxhash64("k", F.lit("language"))
+    rows = map_arrow(chosen, run, f"k {kind}, l string, v binary").orderBy(order, "k", "l", "v").limit(2 * sample_rows).collect()
+    drop(counts)
     if not rows:
         return None
     rows.sort(key=lambda r: (r["k"], r["l"], r["v"]))
     return LanguageModel(np.array([np.frombuffer(r["v"], np.float16) for r in rows], np.float32), [r["l"] for r in rows])
 
 
-def predict(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``lang_pred`` and ``score`` (replacing columns of these names)."""
-    df = df.drop("lang_pred", "score")
-    schema = StructType(list(df.schema.fields)).add("lang_pred", "string").add("score", "double")
+def predict(df: DataFrame, model: LanguageModel | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``df`` with the language in ``pred`` and its score in ``score`` (replacing columns of these names)."""
+    df = df.drop(pred, score)
+    schema = StructType(list(df.schema.fields)).add(pred, "string").add(score, "double")
     at = df.columns.index(text)
 
     def run(batches):
         for b in batches:
-            pred, score = ["und"] * b.num_rows, [0.0] * b.num_rows
+            langs, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
             texts = b.column(at).to_pylist()
             for s in range(0, len(texts), 512):
                 rows = [i for i in range(s, min(s + 512, len(texts))) if model is not None and has_letter(texts[i])]
                 if rows:
                     best, p = model.predict(np.array([features(texts[i]) for i in rows]))
                     for i, k, v in zip(rows, best.tolist(), p.tolist(), strict=True):
-                        pred[i], score[i] = model.langs[k], v
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+                        langs[i], scores[i] = model.langs[k], v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, pred, score])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def identify(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 4000) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import checkpoint, salted_join
+from lacuna.llm.common import salted_join, stored as checkpoint
 
 _BREAK = "[ \\t\\n\\x0B\\f\\r]+"
 SALTS = 16

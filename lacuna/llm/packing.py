@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import partitions, tokenizer
+from lacuna.llm.common import tokenizer
+partitions = lambda s: int(s.conf.get("spark.sql.shuffle.partitions"))
 from lacuna.llm.words import CHUNK, slices_by_bytes, text_buffer, word_hashes
 
 DIMS, BITS, SALT_BITS = 4, 10, 20

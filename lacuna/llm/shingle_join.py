@@ -5,41 +5,47 @@ blocks: by prefix filtering, two sets that reach the threshold share one of thei
 n - ceil(threshold * n) + 1 shingles in any fixed order, here: common ones (found on a bounded sample) last, else by hash.
 The order changes the work, never the result.
 
-Each class has a signature, a bitmap of its shingles' hashes whose length follows the set's size.  In a block the
-classes are the leaves of a signature tree: sorted by component and size, nodes hold the OR of their
-children's bitmaps and the range of their sizes.  A dual traversal descends pairs of nodes, starting with the root and
-itself, and leaves a pair of nodes as soon as the largest possible overlap (a set bit of one side that the other
-lacks is at least one shingle not shared) cannot reach the threshold, or when both are one component already.
-Pairs of leaves that remain are verified exactly on the 64-bit shingle hashes of the whole texts.
-
-Two rounds keep copies from being paired all with all: first every class of a block is held only against the
-block's least class, which joins most groups; then the traversal runs over blocks that still hold several components
-and offers every pair of different components.  A pair left out is one whose ends are connected already, so no link that
-matters to a component is lost.
+Each class has a signature, a bitmap of its shingles' hashes with 8 to 16 bits a shingle.  In a block the classes
+are the leaves of a signature tree: sorted by component and size, nodes hold the OR of their children's bitmaps and the
+range of their sizes.  A dual traversal descends pairs of nodes, starting with the root and itself, and leaves a pair of
+nodes as soon as the largest possible overlap (a set bit of one side that the other lacks is at least one shingle not
+shared) cannot reach the threshold, or when both are one component already.  Pairs of leaves that remain are
+verified exactly on the 64-bit shingle hashes of the whole texts.
+
+Rounds keep copies from being paired all with all.  First every class of a block is held only against the block's
+least class, which joins most groups.  Then the traversal runs over blocks that still hold several components and
+offers each class its best few partners in other components; what links is joined, and where a traversal held
+partners back the next round offers four times as many.  The rounds end when none was held back, so every pair of
+classes is either verified or connected already, and no link that matters to a component is lost.
+
+A large block is cut into parts: by component where one component has more than ``PART`` classes in it, else by a hash of
+the component.  Pairs of parts that lie in one component, or whose sizes are too far apart, are no task; each other pair
+of parts is a task of at most some 2 * ``PART`` classes.  A block in which m classes of different components stay
+apart costs about m * m / ``PART`` signature reads, but no more than a few pairs a class.
 
 Null, empty and blank texts have no shingles and link with nothing; fewer words than the shingle's length are one
-shingle.  Ties and repeated rows are equal sets; rows with equal keys are one node.  Extra columns are ignored; an
-empty table gives an empty result.  Blocks larger than ``BLOCK`` are cut into parts by hash, and pairs of parts are
-separate tasks; what a task holds is bounded by two parts.
+shingle.  Ties and repeated rows are equal sets; rows with equal keys are one node; null keys link with nothing.  Extra
+columns are ignored; an empty table gives an empty result.  A class is named by 64 bits of a 128-bit hash of its set; a clash
+between two classes is looked for, and another seed is taken where there is one.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import checkpoint, components, partitions, salted_join
+from lacuna.llm.common import components, drop, map_arrow, release, salted_join, small, stored
 from lacuna.llm.words import CHUNK, mix64, shingles, slices_by_bytes, text_buffer, word_hashes
 
-BLOCK = 4096
-#: Components of candidate pairs with more classes are verified pair by pair, not in one task.
-GROUP = 4000
-#: Up to so many (key, class) rows, some tens of MB, are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
-FANOUT = 16
-LEAST_BITS, MOST_BITS = 128, 1 << 14
+#: Classes of a part of a large block; blocks of up to FANOUT classes, one node of a tree, are expanded at once.
+PART, FANOUT = 512, 16
+LEAST_BITS, MOST_BITS = 128, 1 << 17
+#: Partners that a class is offered in the first traversal.
+PARTNERS = 4
 
 
 # --- sets and signatures ----------------------------------------------------------------------
@@ -54,16 +60,16 @@ def sets_of(batch: pa.RecordBatch, k: int):
             yield a + i, shingles(h[bounds[i] : bounds[i + 1]], k)
 
 
-def class_of(s: np.ndarray) -> tuple[int, int]:
+def class_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
     """128 bits that stand for a set: two independent sums of avalanched members."""
     with np.errstate(over="ignore"):
-        one = mix64(s).sum(dtype=np.uint64)
+        one = mix64(s ^ np.uint64(seed)).sum(dtype=np.uint64)
         two = mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
 def signature(s: np.ndarray) -> bytes:
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(np.ceil(np.log2(max(len(s), 2))))))
+    bits = min(MOST_BITS, max(LEAST_BITS, 8 << int(np.ceil(np.log2(max(len(s), 2))))))
     place = (s >> np.uint64(7)) & np.uint64(bits - 1)
     flags = np.zeros(bits, np.uint8)
     flags[place.astype(np.int64)] = 1
@@ -109,16 +115,26 @@ class SignatureTree:
             self.levels.append(level)
 
 
-def dual(tree: SignatureTree, other: SignatureTree | None, percent: int, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of leaves that may reach the threshold and lie in different components."""
+def most_overlap(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The largest possible intersections of sets of n and m members with bitmaps p and q."""
+    return np.minimum(n - np.bitwise_count(p & ~q).sum(1), m - np.bitwise_count(q & ~p).sum(1))
+
+
+def dual(tree: SignatureTree, other: SignatureTree | None, percent: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of leaves that may reach the threshold and lie in different components, and by how much they may exceed it.
+
+    ``step`` bounds the words of bitmaps that are held at once.
+    """
     same = other is None
     other = tree if same else other
     height = max(len(tree.levels), len(other.levels))
+    step = max(1, step // tree.levels[0]["map"].shape[1])
     up = lambda t, h: t.levels[min(h, len(t.levels) - 1)]
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     for h in range(height - 1, -1, -1):
         a, b = up(tree, h), up(other, h)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        leaves = h == 0 or (a is tree.levels[0] and b is other.levels[0])
+        left, right, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for s in range(0, len(i), step):
             x, y = i[s : s + step], j[s : s + step]
             joined = (a["c0"][x] == a["c1"][x]) & (b["c0"][y] == b["c1"][y]) & (a["c0"][x] == b["c0"][y])
@@ -127,24 +143,23 @@ def dual(tree: SignatureTree, other: SignatureTree | None, percent: int, step: i
             lo, hi = np.maximum(a["lo"][x], b["lo"][y]), np.minimum(a["hi"][x], b["hi"][y])
             ok = 100 * hi >= percent * lo
             x, y = x[ok], y[ok]
-            if h == 0 or (a is tree.levels[0] and b is other.levels[0]):
-                n, m = a["lo"][x], b["lo"][y]
-                p, q = a["map"][x], b["map"][y]
-                most = np.minimum(n - np.bitwise_count(p & ~q).sum(1), m - np.bitwise_count(q & ~p).sum(1))
-                ok = most >= least_overlap(n, m, percent)
+            least = least_overlap(a["lo"][x], b["lo"][y], percent)
+            if leaves:
+                most = most_overlap(a["lo"][x], b["lo"][y], a["map"][x], b["map"][y])
             else:
                 # shingles of a leaf lie in bits that both maps have, but for those that share a bit (slack)
                 most = np.minimum(a["slack"][x], b["slack"][y]) + np.bitwise_count(a["map"][x] & b["map"][y]).sum(1)
-                ok = most >= least_overlap(a["lo"][x], b["lo"][y], percent)
+            ok = most >= least
             left.append(x[ok])
             right.append(y[ok])
-        i, j = np.concatenate(left), np.concatenate(right)
+            room.append(most[ok] / least[ok])
+        i, j, more = np.concatenate(left), np.concatenate(right), np.concatenate(room)
         if h:
             i, j = _children(i, j, tree, other, h, same)
     if same:
         keep = i < j
-        i, j = i[keep], j[keep]
-    return i, j
+        i, j, more = i[keep], j[keep], more[keep]
+    return i, j, more
 
 
 def _children(i, j, tree, other, h, same):
@@ -164,8 +179,8 @@ def _children(i, j, tree, other, h, same):
     return x[ok], y[ok]
 
 
-def traverse(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of one block's table (n, sig, comp, side); side is 0 throughout if the block is held against itself.
+def traverse(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of one table (n, sig, comp, side) and their room; side is 0 throughout if it is held against itself.
 
     There is one tree for each signature length, so that short signatures do not blunt long ones; sets near enough in
     size have lengths that are equal or differ by one doubling.
@@ -182,23 +197,35 @@ def traverse(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero((width == w) & (side == of))
         return rows[np.lexsort((n[rows], comp[rows]))]
 
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for w in np.unique(width).tolist():
         a = rows_of(w, 0)
         if not len(a):
             continue
         for v in (w, 2 * w) if itself else (w // 2, w, 2 * w):
             if itself and v == w:
-                i, j = dual(tree(a, w), None, percent)
+                i, j, more = dual(tree(a, w), None, percent)
                 b = a
             else:
                 b = rows_of(v, 0 if itself else 1)
                 if not len(b):
                     continue
-                i, j = dual(tree(a, min(w, v)), tree(b, min(w, v)), percent)
+                i, j, more = dual(tree(a, min(w, v)), tree(b, min(w, v)), percent)
             left.append(a[i])
             right.append(b[j])
-    return np.concatenate(left), np.concatenate(right)
+            room.append(more)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(room)
+
+
+def best_partners(i: np.ndarray, j: np.ndarray, room: np.ndarray, partners: int) -> np.ndarray:
+    """Marks the pairs that are among the ``partners`` with the most room of either end."""
+    keep = np.zeros(len(i), bool)
+    for end in (i, j):
+        order = np.lexsort((-room, end))
+        first = np.flatnonzero(np.r_[True, end[order][1:] != end[order][:-1]]) if len(order) else order
+        place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+        keep[order[place < partners]] = True
+    return keep
 
 
 # --- the join ---------------------------------------------------------------------------------
@@ -215,67 +242,91 @@ def common_shingles(df: DataFrame, k: int, sample_rows: int, least: int = 4, mos
             out = [s.view(np.int64) for _, s in sets_of(b, k)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["s"])
 
-    rows = some.select("key", "text").mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(most).collect()
+    rows = map_arrow(some.select("key", "text"), run, "s long").groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(most).collect()
     return np.sort(np.array([r["s"] for r in rows], np.int64).view(np.uint64))
 
 
-def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, sample_rows: int = 8000) -> DataFrame:
-    """(key, n_shingles, component_id): one row for each row of ``df``."""
-    name = df.schema[key].dataType.simpleString()
-    base = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
+    """Arrow lists of longs; None is null."""
+    ends = np.cumsum([0, *(0 if a is None else len(a) for a in arrays)])
+    flat = np.concatenate([a for a in arrays if a is not None] or [np.zeros(0, np.int64)]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=pa.array([a is None for a in arrays], pa.bool_()))
 
-    def digest(batches):
-        for b in batches:
-            rows = [(len(s), *class_of(s), signature(s)) for _, s in sets_of(b, k)]
-            n, one, two = (np.array([r[c] for r in rows], np.int64) for c in range(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(one), pa.array(two), pa.array([r[3] for r in rows], pa.binary())], names=["key", "n", "c1", "c2", "sig"])
 
-    docs = checkpoint(base.mapInArrow(digest, "key long, n long, c1 long, c2 long, sig binary"))
-    classes = checkpoint(docs.where("n > 0 and key is not null").groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    common = common_shingles(base, k, sample_rows)
-    keyed = checkpoint(_shared(base, k, percent, common))
-    c = _components(base, keyed, classes.select(F.col("c1").alias("cls"), "rep", "n", "sig"), k, percent)
-    c = c.join(classes.select(F.col("c1").alias("id"), "rep"), "id")
-    best = c.groupBy("component").agg(F.min("rep").alias("least"))
-    comps = classes.select("c1", "c2", "rep").join(salted_join(c, best, ["component"], spread="id").select(F.col("id").alias("c1"), "least"), "c1", "left")
-    comps = comps.select("c1", "c2", F.coalesce("least", "rep").alias("component"))
-    out = salted_join(docs, comps, ["c1", "c2"], "left", spread="key")
-    out = out.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key")))
-    return out.select(F.col("key").cast(name).alias(key), F.col("n").alias("n_shingles"), F.col("component").cast("long").alias("component_id"))
+def _described(base: DataFrame, k: int, percent: int, common: np.ndarray, seed: int) -> DataFrame:
+    """(key, n, c1, c2, tokens, sig): set size, class, prefix and signature of each text, in one pass over the texts.
 
+    Copies that a task has met have no tokens and signature again.
+    """
 
-def _shared(base: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(token, cls, least) for prefix shingles that several classes have; ``least`` is the block's least class."""
+    def prefix(s: np.ndarray) -> np.ndarray:
+        p = prefix_length(len(s), percent)
+        if len(common):
+            often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+            s = np.concatenate([s[~often][:p], s[often][:p]])
+        return s[:p]
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            tokens, cls = [], []
+            n, one, two, tokens, sigs = [], [], [], [], []
             for _, s in sets_of(b, k):
-                if not len(s):
-                    continue
-                c = class_of(s)[0]
-                if c in seen:  # a copy met in this task
-                    continue
-                seen.add(c)
-                p = prefix_length(len(s), percent)
-                if len(common):
-                    often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate([s[~often][:p], s[often][:p]])
-                tokens.append(s[:p].view(np.int64))
-                cls.append(np.full(len(tokens[-1]), c, np.int64))
-            if len(seen) > 1_000_000:
-                seen.clear()
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(cls))], names=["token", "cls"])
-
-    rows = base.mapInArrow(run, "token long, cls long").repartition(partitions(base.sparkSession), "token")
-    by = Window.partitionBy("token")
-    rows = rows.withColumn("least", F.min("cls").over(by)).withColumn("greatest", F.max("cls").over(by))
-    return rows.where("least < greatest").select("token", "cls", "least").distinct()
-
-
-def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+                c = class_of(s, seed)
+                new = len(s) > 0 and c not in seen
+                if len(seen) > 200_000:
+                    seen.clear()
+                if new:
+                    seen.add(c)
+                n.append(len(s))
+                one.append(c[0])
+                two.append(c[1])
+                tokens.append(prefix(s) if new else None)
+                sigs.append(signature(s) if new else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), _lists(tokens), pa.array(sigs, pa.binary())], names=["key", "n", "c1", "c2", "tokens", "sig"])
+
+    return map_arrow(base, run, "key long, n long, c1 long, c2 long, tokens array<long>, sig binary")
+
+
+def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, sample_rows: int = 8000) -> DataFrame:
+    """(key, n_shingles, component_id): one row for each row of ``df``."""
+    spark = df.sparkSession
+    name = df.schema[key].dataType.simpleString()
+    base = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    common = common_shingles(base, k, sample_rows)
+    for seed in itertools.count():
+        docs = stored(_described(base, k, percent, common, seed))
+        classes = stored(docs.where("n > 0 and key is not null").groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.first("n").alias("n")))
+        if not classes.groupBy("c1").count().where("count > 1").limit(1).count():
+            break
+        drop(docs, classes)
+    blocks = _blocks(docs, classes)
+    release(spark)
+    c = _components(base, blocks, docs, classes, k, percent, seed)
+    best = classes.select(F.col("c1").alias("id"), "rep").join(c, "id")
+    least = best.groupBy("component").agg(F.min("rep").alias("least"))
+    named = stored(salted_join(best, least, ["component"], spread="id").select(F.col("id").alias("c1"), "least"))
+    drop(blocks, c)
+    comps = classes.select("c1", "c2", "rep").join(named, "c1", "left").select("c1", "c2", F.coalesce("least", "rep").alias("component"))
+    out = salted_join(docs.select("key", "n", "c1", "c2"), comps, ["c1", "c2"], "left", spread="key")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key"))
+    return out.select(F.col("key").cast(name).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), component).cast("long").alias("component_id"))
+
+
+def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(token, cls, n, least) for prefix shingles that several classes have; ``least`` is the block's least class.
+
+    Least and greatest class of a shingle are aggregated before they are shuffled, so a frequent shingle is no hot key.
+    """
+    keyed = docs.where("tokens is not null and key is not null").select(F.col("c1").alias("cls"), F.explode("tokens").alias("token"))
+    ends = keyed.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("greatest"))
+    shared = stored(ends.where("least < greatest").select("token", "least"))
+    rows = keyed.join(shared, "token").distinct()
+    out = stored(rows.join(classes.select(F.col("c1").alias("cls"), "n"), "cls"))
+    drop(shared)
+    return out
+
+
+def _within_bound(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures leave room for the threshold."""
 
     def run(batches):
@@ -287,142 +338,143 @@ def _within_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
             for r, (x, y) in enumerate(zip(p, q, strict=True)):
                 groups.setdefault(min(len(x), len(y)), []).append(r)
             for width, rows in groups.items():
-                for s in range(0, len(rows), 4096):
-                    r = np.array(rows[s : s + 4096])
+                step = max(1, (1 << 22) // width)
+                for s in range(0, len(rows), step):
+                    r = np.array(rows[s : s + step])
                     x, y = (np.stack([fold(v[i], 8 * width) for i in r]) for v in (p, q))
-                    most = np.minimum(n[r] - np.bitwise_count(x & ~y).sum(1), m[r] - np.bitwise_count(y & ~x).sum(1))
-                    keep[r] = most >= least_overlap(n[r], m[r], percent)
+                    keep[r] = most_overlap(n[r], m[r], x, y) >= least_overlap(n[r], m[r], percent)
             yield pa.RecordBatch.from_arrays([t["a"], t["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    left = classes.select(F.col("cls").alias("a"), "n", F.col("sig").alias("p"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("q"))
-    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return both.select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
+    left = sigs.select(F.col("cls").alias("a"), "n", F.col("sig").alias("p"))
+    right = sigs.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("q"))
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q"), run, "a long, b long")
 
 
-def _verified(base: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that connect what ``pairs(a, b)`` reach the threshold for, by exact intersection of the whole sets.
+def _verified(base: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, by exact intersection of the sets of the whole texts."""
 
-    Pairs are gathered by the least class that their first end meets, which is one group for most families, so a text
-    travels about once however many pairs it has; small groups share a bin, and groups of more than ``GROUP`` classes
-    are joined pair by pair instead.
-    """
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("g")).select("a", F.least("a", "g").alias("g"))
-    grouped = checkpoint(salted_join(pairs.select("a", "b"), least, ["a"], spread="b"))
-    needs = grouped.select("g", F.col("a").alias("cls")).union(grouped.select("g", "b")).distinct()
-    sizes = needs.groupBy("g").agg(F.count("*").alias("m"))
-    needs = salted_join(needs, sizes, ["g"], spread="cls")
-    wanted = checkpoint(needs.join(classes.select("cls", "rep"), "cls").select(F.col("rep").alias("key"), "cls", "g", "m"))
-    n = wanted.count()
-    bins = max(partitions(base.sparkSession), n // 1000)
-    bin_ = F.pmod(F.xxhash64("g", F.lit("bin")), F.lit(bins)).cast("int")
-    few = n <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(wanted) if few else wanted, "key").select("key", "text", "cls", "m", bin_.alias("bin"))
-    placed = salted_join(grouped, sizes, ["g"], spread="b").select("a", "b", "m", bin_.alias("bin"))
-
-    def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        sets = {}
-        cls = left["cls"].to_pylist()
-        for batch, at in _batches(left):
-            for i, s in sets_of(batch, k):
-                if len(s) and class_of(s)[0] == cls[at + i]:  # a key may stand for several texts
-                    sets[cls[at + i]] = s
-        parent = {c: c for c in sets}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        out = []
-        for a, b in zip(right["a"].to_pylist(), right["b"].to_pylist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y and 100 * (c := len(np.intersect1d(sets[a], sets[b], assume_unique=True))) >= percent * (len(sets[a]) + len(sets[b]) - c):
-                parent[x] = y
-                out.append((a, b))
-        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
-
-    small = texts.where(F.col("m") <= GROUP).select("bin", "text", "cls").groupBy("bin").cogroup(placed.where(F.col("m") <= GROUP).select("bin", "a", "b").groupBy("bin")).applyInArrow(check, "a long, b long")
-    if not wanted.where(F.col("m") > GROUP).limit(1).count():
-        return small
-    return small.union(_verified_apart(texts.where(F.col("m") > GROUP).select("key", "text", "cls"), placed.where(F.col("m") > GROUP).select("a", "b"), k, percent))
-
-
-def _batches(t: pa.Table):
-    """(batch with the text as column 1, its first row) in pieces that keep the copies of a text small."""
-    for at in range(0, t.num_rows, 256):
-        part = t.slice(at, 256).select(["cls", "text"]).combine_chunks()
-        yield pa.RecordBatch.from_arrays([part["cls"].combine_chunks(), part["text"].combine_chunks()], names=["cls", "text"]), at
-
-
-def _verified_apart(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The same for pairs of large components: sets are joined to each pair and intersected in the engine."""
-
-    def run(batches):
+    def hashed(batches):
         for b in batches:
-            named = zip(b.column(2).to_pylist(), (s for _, s in sets_of(b, k)), strict=True)
-            named = [(c, s) for c, s in named if len(s) and class_of(s)[0] == c]
-            sets = [pa.array(s.view(np.int64)) for _, s in named]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in named], pa.int64()), lists], names=["cls", "set"])
-
-    sets = checkpoint(texts.mapInArrow(run, "cls long, set array<long>").dropDuplicates(["cls"]))
-    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("c")).where(F.col("c") * 100 >= percent * (F.col("n") - F.col("c"))).select("a", "b")
-
-
-def _candidates(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components from ``blocks(token, cls, comp)``, each of which holds several components."""
-    by = Window.partitionBy("token")
-    sized = checkpoint(blocks.withColumn("size", F.count("*").over(by)))
-    # a block that fits one node is expanded at once
-    x = sized.where(F.col("size") <= FANOUT)
-    y = x.select("token", F.col("cls").alias("b"), F.col("comp").alias("other"))
-    few = x.select("token", F.col("cls").alias("a"), "comp").join(y, "token").where("a < b and comp != other").select("a", "b").distinct()
-    few = _within_bound(few, classes, percent)
-    big = sized.where(F.col("size") > FANOUT).join(classes.select("cls", "n", "sig"), "cls")
-    bins = max(1, sized.where(F.col("size") > FANOUT).count() // 20_000)
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    big = big.withColumn("mine", F.pmod(F.xxhash64("cls"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    big = big.select(
-        F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("token", F.lit("bin")), F.lit(bins))).otherwise(F.col("token")).alias("g"),
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).cast("int").alias("side"),
-        "token",
-        "cls",
-        "comp",
-        "n",
-        "sig",
-    )
+            cls = b.column(2).to_pylist()
+            rows = [(i, s) for i, s in sets_of(b, k) if len(s) and class_of(s, seed)[0] == cls[i]]  # a key may stand for several texts
+            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["cls", "set"])
+
+    def check(batches):
+        for t in batches:
+            keep = np.zeros(t.num_rows, bool)
+            for r, (x, y) in enumerate(zip(t["x"], t["y"], strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                c = len(np.intersect1d(x, y, assume_unique=True))
+                keep[r] = 100 * c >= percent * (len(x) + len(y) - c)
+            yield pa.RecordBatch.from_arrays([t["a"], t["b"]], names=["a", "b"]).filter(pa.array(keep))
+
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = stored(ends.join(classes.select(F.col("c1").alias("cls"), "rep"), "cls").select(F.col("rep").alias("key"), "cls"))
+    texts = base.join(small(wanted), "key").select("key", "text", "cls")
+    sets = stored(map_arrow(texts, hashed, "cls long, set binary").dropDuplicates(["cls"]))
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    out = stored(map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long"))
+    drop(wanted, sets)
+    return out
+
+
+def _near_in_size(n: str, m: str, percent: int):
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _expanded(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) in different components of blocks that fit one node."""
+    x = members.select("token", F.col("cls").alias("a"), F.col("comp").alias("comp_a"), "n")
+    y = members.select("token", F.col("cls").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("m"))
+    return x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _near_in_size("n", "m", percent)).select("a", "b").distinct()
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """``members(token, cls, comp, n, size)`` with ``own`` (its component where that has parts of its own, else null) and ``sub``."""
+    of = stored(members.groupBy("token", "comp").agg(F.count("*").alias("here")).where(F.col("here") > PART))
+    x = members.join(small(of), ["token", "comp"], "left")
+    own = F.when(F.col("here").isNotNull(), F.col("comp"))
+    sub = F.when(F.col("here").isNotNull(), F.pmod(F.xxhash64("cls"), F.ceil(F.col("here") / PART))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / PART)))
+    return x.select("token", "cls", "comp", "n", "size", own.alias("own"), sub.cast("long").alias("sub"))
+
+
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
+    """(g, token, i, j, side, cls, comp, n): blocks, or pairs of the parts of large ones; small blocks share a ``g``."""
+    parted = stored(_parts(members))
+    big = F.col("size") > PART
+    single = parted.where(~big)
+    bins = max(1, single.count() // PART)
+    whole = single.select(F.pmod(F.xxhash64("token", F.lit("bin")), F.lit(bins)).alias("g"), "token", F.lit(0).alias("side"), "cls", "comp", "n")
+    part = F.xxhash64("own", F.col("own").isNull(), "sub")
+    cut = parted.where(big).withColumn("part", part)
+    parts = cut.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("own"))
+    a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "lo", "hi", "own")]) for x in "ab")
+    near = 100 * F.least("hi_a", "hi_b") >= percent * F.greatest("lo_a", "lo_b")
+    pairs = stored(a.join(b, "token").where((F.col("part_a") <= F.col("part_b")) & near & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False))).select("token", "part_a", "part_b"))
+    g = F.xxhash64("token", "part_a", "part_b").alias("g")
+    rows = ["token", "side", "cls", "comp", "n"]
+    left = cut.join(pairs.withColumnRenamed("part_a", "part").withColumn("part_a", F.col("part")), ["token", "part"]).withColumn("side", F.lit(0)).select(g, *rows)
+    right = cut.join(pairs.where("part_a < part_b").withColumnRenamed("part_b", "part").withColumn("part_b", F.col("part")), ["token", "part"]).withColumn("side", F.lit(1)).select(g, *rows)
+    return whole.select("g", *rows).union(left).union(right)
+
+
+def _offers(members: DataFrame, sigs: DataFrame, percent: int, partners: int) -> DataFrame:
+    """(a, b, held): pairs (a < b) that the traversal of larger blocks offers, and whether it held others back."""
 
     def tile(t: pa.Table) -> pa.Table:
-        t = t.sort_by("token")
+        t = t.sort_by([("token", "ascending")])
         tokens, cls = t["token"].to_numpy(), t["cls"].to_numpy()
         cut = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
-        a, b = [], []
+        a, b, held = [], [], False
         for s, e in zip(cut[:-1], cut[1:], strict=True):
-            i, j = traverse(t.slice(s, e - s), percent)
-            a.append(cls[s + i])
-            b.append(cls[s + j])
+            i, j, room = traverse(t.slice(s, e - s), percent)
+            keep = best_partners(i, j, room, partners)
+            held = held or not keep.all()
+            a.append(cls[s + i[keep]])
+            b.append(cls[s + j[keep]])
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+        pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+        return pairs.append_column("held", pa.array([held] * pairs.num_rows, pa.bool_()))
 
-    many = big.groupBy("g", "i", "j").applyInArrow(tile, "a long, b long")
-    return few.union(many).distinct()
+    rows = _tiles(members, percent).join(sigs.select("cls", "sig"), "cls")
+    return rows.select("g", "token", "side", "cls", "comp", "n", "sig").groupBy("g").applyInArrow(tile, "a long, b long, held boolean")
 
 
-def _components(base: DataFrame, keyed: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _components(base: DataFrame, blocks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
     """(id, component) of the classes that link."""
-    stars = checkpoint(keyed.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct())
-    first = checkpoint(_verified(base, checkpoint(_within_bound(stars, classes, percent)), classes, k, percent))
-    comp = components(first)
-    comp = checkpoint(comp)
-    named = keyed.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("token", "cls", F.coalesce("component", "cls").alias("comp"))
-    by = Window.partitionBy("token")
-    open_ = named.withColumn("c0", F.min("comp").over(by)).withColumn("c1", F.max("comp").over(by)).where("c0 < c1").select("token", "cls", "comp")
-    rest = checkpoint(_candidates(open_, classes, percent).join(stars, ["a", "b"], "left_anti"))
-    second = checkpoint(_verified(base, rest, classes, k, percent))
-    return components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
+    wanted = blocks.select("cls").distinct()
+    sigs = stored(docs.where("sig is not null").select(F.col("c1").alias("cls"), "n", "sig").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
+    stars = blocks.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b"), "n").distinct()
+    stars = stars.join(classes.select(F.col("c1").alias("a"), F.col("n").alias("m")), "a").where(_near_in_size("n", "m", percent)).select("a", "b")
+    tried = stored(_within_bound(stars, sigs, percent))
+    links = _verified(base, tried, classes, k, percent, seed)
+    release(base.sparkSession)
+    comp, partners = components(links), PARTNERS
+    while True:
+        members = _open(blocks, comp)
+        offers = _offers(members.where(F.col("size") > FANOUT), sigs, percent, partners)
+        if partners == PARTNERS:  # the pairs of small blocks are offered at once
+            few = _within_bound(_expanded(members.where(F.col("size") <= FANOUT), percent), sigs, percent)
+            offers = offers.unionByName(few.withColumn("held", F.lit(False)))
+        offers = stored(offers.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held")))
+        held = offers.where("held").limit(1).count() > 0
+        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = stored(offers.select("a", "b").join(known, ["a", "b"], "left_anti"))
+        found = _verified(base, new, classes, k, percent, seed)
+        if found.limit(1).count():
+            comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
+        drop(members, offers)
+        if not held:
+            return comp
+        tried, partners = tried.union(new), 4 * partners
+
+
+def _open(blocks: DataFrame, comp: DataFrame) -> DataFrame:
+    """(token, cls, comp, n, size) of the blocks that hold several components."""
+    named = blocks.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    named = stored(named)
+    ends = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
+    held = stored(ends.where("c0 < c1").select("token", "size"))
+    out = stored(named.join(held, "token"))
+    drop(named, held)
+    return out

@@ -187,10 +187,11 @@ def brute_groups(rows, k, percent):
     return sorted((x, len(sets[x]), root(x)) for x in keys)
 
 
-@pytest.mark.parametrize("k,percent,group", [(4, 85, 4000), (5, 80, 1)])
-def test_shingle_join(docs, empty, spark, sf_dir, monkeypatch, k, percent, group):
-    monkeypatch.setattr(shingle_join, "GROUP", group)
-    monkeypatch.setattr(shingle_join, "BLOCK", 8)
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_shingle_join(docs, empty, spark, sf_dir, monkeypatch, k, percent):
+    monkeypatch.setattr(shingle_join, "PART", 8)
+    monkeypatch.setattr(shingle_join, "FANOUT", 4)
+    monkeypatch.setattr(shingle_join, "PARTNERS", 1)
     base = words(7, 200, 5).split(" ")
     family = []
     for i in range(40):
@@ -208,13 +209,52 @@ def test_shingle_join(docs, empty, spark, sf_dir, monkeypatch, k, percent, group
         assert shingle_join.jaccard_components(empty).count() == 0
 
 
+def test_shingle_join_of_a_large_family(spark):
+    """5,000 versions of one text: edited words are unique, so two versions share exactly the shingles that neither edit touches."""
+    r = np.random.default_rng(8)
+    n, width, k = 5000, 120, 4
+    base = [f"b{i}" for i in range(width)]
+    edited = [np.unique(r.integers(0, width, r.integers(1, 4))) for _ in range(n)]
+    texts = [" ".join(f"e{d}x{p}" if p in set(e.tolist()) else base[p] for p in range(width)) for d, e in enumerate(edited)]
+    left = np.ones((n, width - k + 1), np.float32)
+    for d, e in enumerate(edited):
+        for p in e:
+            left[d, max(0, p - k + 1) : p + 1] = 0
+    share = left @ left.T
+    near = (100 * share >= 85 * (2 * (width - k + 1) - share)) | np.eye(n, dtype=bool)
+    want = np.arange(n)
+    while True:
+        new = np.array([want[row].min() for row in near])
+        if (new == want).all():
+            break
+        want = new
+    df = spark.createDataFrame([(d, t) for d, t in enumerate(texts)] + [(n, None)], "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x for x in shingle_join.jaccard_components(df).collect()}
+    assert [got[d]["component_id"] for d in range(n)] == want.tolist() and len(set(want.tolist())) > 1
+    assert got[n]["n_shingles"] == 0 and got[n]["component_id"] == n and all(got[d]["n_shingles"] == width - k + 1 for d in range(n))
+
+
+def test_classes_that_clash_take_another_seed(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "v w x y z"), (None, "v w x y z")], "doc_id long, text string")
+    seeds, real = [], shingle_join._described
+
+    def clashing(base, k, percent, common, seed):
+        seeds.append(seed)
+        out = real(base, k, percent, common, seed)
+        return out.withColumn("c1", F.lit(7).cast("long")) if seed == 0 else out
+
+    monkeypatch.setattr(shingle_join, "_described", clashing)
+    assert {(r["doc_id"], r["component_id"]) for r in shingle_join.jaccard_components(df).collect()} == {(1, 1), (2, 1), (3, 3), (None, None)}
+    assert seeds == [0, 1]
+
+
 def test_signature_tree_loses_no_pair():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 4000, 80).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[:-4], r.integers(0, 1 << 60, 3).astype(np.uint64)])) for s in sets[:30]]
     n = np.array([len(s) for s in sets])
     maps = np.stack([shingle_join.fold(shingle_join.signature(s), 128) for s in sets])
-    i, j = shingle_join.dual(shingle_join.SignatureTree(n, maps, np.arange(len(n))), None, 85)
+    i, j, _ = shingle_join.dual(shingle_join.SignatureTree(n, maps, np.arange(len(n))), None, 85)
     found = set(zip(i.tolist(), j.tolist()))
     true = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (n[a] + n[b] - c)}
     assert true and true <= found and len(found) < len(sets) * (len(sets) - 1) // 2
@@ -318,8 +358,14 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_best_partners_of_either_end():
+    i, j, room = np.array([0, 0, 0, 1, 2]), np.array([1, 2, 3, 2, 3]), np.array([1.0, 1.5, 1.2, 1.1, 1.3])
+    assert shingle_join.best_partners(i, j, room, 1).tolist() == [True, True, False, True, True]
+    assert shingle_join.best_partners(i, j, room, 3).all() and shingle_join.best_partners(i[:0], j[:0], room[:0], 1).tolist() == []
+
+
 def test_trees_pruned_at_the_root_and_sizes_apart():
     one = shingle_join.SignatureTree(np.array([100] * 40), np.full((40, 2), 1, np.uint64), np.arange(40))
     two = shingle_join.SignatureTree(np.array([500] * 3), np.full((3, 2), 2, np.uint64), np.arange(3) + 100)
-    assert [len(x) for x in shingle_join.dual(one, two, 85)] == [0, 0] == [len(x) for x in shingle_join.dual(two, one, 85)]
+    assert [len(x) for x in shingle_join.dual(one, two, 85)] == [0, 0, 0] == [len(x) for x in shingle_join.dual(two, one, 85)]
     assert len(shingle_join.dual(one, None, 85)[0]) == 40 * 39 // 2
