@@ -87,11 +87,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before, after = None, digest(now)
     while after != before and after[0]:
-        turned = stored(large(now))
+        turned = stored(smaller(large(now)))
         drop(now)
-        now = stored(smaller(turned))
-        drop(turned)
-        before, after = after, digest(now)
+        now, before, after = turned, after, digest(turned)
     tree = now.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("component"))
     out = stored(tree.groupBy("id").agg(F.min("component").alias("component")).unionByName(tree.select(F.col("component").alias("id"), "component").distinct()))
     drop(now)

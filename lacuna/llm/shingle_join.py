@@ -5,18 +5,19 @@ blocks: by prefix filtering, two sets that reach the threshold share one of thei
 n - ceil(threshold * n) + 1 shingles in any fixed order, here: common ones (found on a bounded sample) last, else by hash.
 The order changes the work, never the result.
 
-Each class has a signature, a bitmap of its shingles' hashes with 8 to 16 bits a shingle.  In a block the classes
-are the leaves of a signature tree: sorted by component and size, nodes hold the OR of their children's bitmaps and the
-range of their sizes.  A dual traversal descends pairs of nodes, starting with the root and itself, and leaves a pair of
+Each class has a signature, a bitmap of its shingles' hashes with 8 to 16 bits a shingle, and a short one, folded
+to a quarter, which travels first and rules out most.  In a block the classes are the leaves of a signature tree: sorted
+by component and size, nodes hold the OR of their children's bitmaps and the range of their sizes.  A dual traversal descends pairs of nodes, starting with the root and itself, and leaves a pair of
 nodes as soon as the largest possible overlap (a set bit of one side that the other lacks is at least one shingle not
 shared) cannot reach the threshold, or when both are one component already.  Pairs of leaves that remain are
 verified exactly on the 64-bit shingle hashes of the whole texts.
 
 Rounds keep copies from being paired all with all.  First every class of a block is held only against the block's
-least class, which joins most groups.  Then the traversal runs over blocks that still hold several components and
-offers each class its best few partners in other components; what links is joined, and where a traversal held
-partners back the next round offers four times as many.  The rounds end when none was held back, so every pair of
-classes is either verified or connected already, and no link that matters to a component is lost.
+least class, which joins most groups.  Then the traversal runs over blocks that still hold several components.  In
+blocks of more than ``PART`` classes it offers each class its best few partners in other components; what links is
+joined, and where a traversal held partners back the next round offers four times as many.  The rounds end when none was
+held back, so every pair of classes is either verified or connected already, and no link that matters to a component is
+lost.
 
 A large block is cut into parts: by component where one component has more than ``PART`` classes in it, else by a hash of
 the component.  Pairs of parts that lie in one component, or whose sizes are too far apart, are no task; each other pair
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import components, drop, map_arrow, release, salted_join, small, stored
 from lacuna.llm.words import CHUNK, mix64, shingles, slices_by_bytes, text_buffer, word_hashes
 
-#: Classes of a part of a large block; blocks of up to FANOUT classes, one node of a tree, are expanded at once.
+#: Classes of a part of a large block; blocks of up to FANOUT classes, one node of a tree, are expanded by a join.
 PART, FANOUT = 512, 16
 LEAST_BITS, MOST_BITS = 128, 1 << 17
 #: Partners that a class is offered in the first traversal.
@@ -76,6 +77,11 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
+def short(sig: bytes) -> bytes:
+    """A signature folded to a quarter of its bits."""
+    return fold(sig, max(LEAST_BITS, 2 * len(sig))).tobytes()
+
+
 def least_overlap(n, m, percent: int):
     """The least intersection with which sets of n and m members reach percent / 100."""
     return -(-percent * (n + m) // (100 + percent))
@@ -254,9 +260,9 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
 
 
 def _described(base: DataFrame, k: int, percent: int, common: np.ndarray, seed: int) -> DataFrame:
-    """(key, n, c1, c2, tokens, sig): set size, class, prefix and signature of each text, in one pass over the texts.
+    """(key, n, c1, c2, tokens, sig, mini): set size, class, prefix and signatures of each text, in one pass over the texts.
 
-    Copies that a task has met have no tokens and signature again.
+    Copies that a task has met have no tokens and signatures again.
     """
 
     def prefix(s: np.ndarray) -> np.ndarray:
@@ -282,9 +288,9 @@ def _described(base: DataFrame, k: int, percent: int, common: np.ndarray, seed:
                 two.append(c[1])
                 tokens.append(prefix(s) if new else None)
                 sigs.append(signature(s) if new else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), _lists(tokens), pa.array(sigs, pa.binary())], names=["key", "n", "c1", "c2", "tokens", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, one, two)), _lists(tokens), pa.array(sigs, pa.binary()), pa.array([s and short(s) for s in sigs], pa.binary())], names=["key", "n", "c1", "c2", "tokens", "sig", "mini"])
 
-    return map_arrow(base, run, "key long, n long, c1 long, c2 long, tokens array<long>, sig binary")
+    return map_arrow(base, run, "key long, n long, c1 long, c2 long, tokens array<long>, sig binary, mini binary")
 
 
 def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = 4, percent: int = 85, sample_rows: int = 8000) -> DataFrame:
@@ -326,7 +332,12 @@ def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return out
 
 
-def _within_bound(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) for which neither the short nor the whole signatures rule the threshold out."""
+    return _within_bound(_within_bound(pairs, sigs, percent, "mini"), sigs, percent, "sig")
+
+
+def _within_bound(pairs: DataFrame, sigs: DataFrame, percent: int, sig: str) -> DataFrame:
     """The pairs (a, b) whose signatures leave room for the threshold."""
 
     def run(batches):
@@ -345,8 +356,8 @@ def _within_bound(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
                     keep[r] = most_overlap(n[r], m[r], x, y) >= least_overlap(n[r], m[r], percent)
             yield pa.RecordBatch.from_arrays([t["a"], t["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    left = sigs.select(F.col("cls").alias("a"), "n", F.col("sig").alias("p"))
-    right = sigs.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("q"))
+    left = sigs.select(F.col("cls").alias("a"), "n", F.col(sig).alias("p"))
+    right = sigs.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col(sig).alias("q"))
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q"), run, "a long, b long")
 
 
@@ -395,31 +406,27 @@ def _parts(members: DataFrame) -> DataFrame:
     x = members.join(small(of), ["token", "comp"], "left")
     own = F.when(F.col("here").isNotNull(), F.col("comp"))
     sub = F.when(F.col("here").isNotNull(), F.pmod(F.xxhash64("cls"), F.ceil(F.col("here") / PART))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / PART)))
-    return x.select("token", "cls", "comp", "n", "size", own.alias("own"), sub.cast("long").alias("sub"))
+    out = stored(x.select("token", "cls", "comp", "n", F.xxhash64(own, own.isNull(), sub).alias("part"), own.alias("own")))
+    drop(of)
+    return out
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """(g, token, i, j, side, cls, comp, n): blocks, or pairs of the parts of large ones; small blocks share a ``g``."""
-    parted = stored(_parts(members))
-    big = F.col("size") > PART
-    single = parted.where(~big)
-    bins = max(1, single.count() // PART)
-    whole = single.select(F.pmod(F.xxhash64("token", F.lit("bin")), F.lit(bins)).alias("g"), "token", F.lit(0).alias("side"), "cls", "comp", "n")
-    part = F.xxhash64("own", F.col("own").isNull(), "sub")
-    cut = parted.where(big).withColumn("part", part)
+    """(g, token, side, cls, comp, n): one ``g`` for each pair of parts of a large block that may hold links."""
+    cut = _parts(members)
     parts = cut.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("own"))
     a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "lo", "hi", "own")]) for x in "ab")
     near = 100 * F.least("hi_a", "hi_b") >= percent * F.greatest("lo_a", "lo_b")
     pairs = stored(a.join(b, "token").where((F.col("part_a") <= F.col("part_b")) & near & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False))).select("token", "part_a", "part_b"))
     g = F.xxhash64("token", "part_a", "part_b").alias("g")
-    rows = ["token", "side", "cls", "comp", "n"]
-    left = cut.join(pairs.withColumnRenamed("part_a", "part").withColumn("part_a", F.col("part")), ["token", "part"]).withColumn("side", F.lit(0)).select(g, *rows)
-    right = cut.join(pairs.where("part_a < part_b").withColumnRenamed("part_b", "part").withColumn("part_b", F.col("part")), ["token", "part"]).withColumn("side", F.lit(1)).select(g, *rows)
-    return whole.select("g", *rows).union(left).union(right)
+    rows = ["token", "cls", "comp", "n"]
+    left = cut.join(pairs.withColumn("part", F.col("part_a")), ["token", "part"]).select(g, F.lit(0).alias("side"), *rows)
+    right = cut.join(pairs.where("part_a < part_b").withColumn("part", F.col("part_b")), ["token", "part"]).select(g, F.lit(1).alias("side"), *rows)
+    return left.union(right)
 
 
-def _offers(members: DataFrame, sigs: DataFrame, percent: int, partners: int) -> DataFrame:
-    """(a, b, held): pairs (a < b) that the traversal of larger blocks offers, and whether it held others back."""
+def _traversed(tiles: DataFrame, sigs: DataFrame, sig: str, percent: int, partners: int | None) -> DataFrame:
+    """(a, b, held): pairs (a < b) that the traversals offer, and whether one held others back."""
 
     def tile(t: pa.Table) -> pa.Table:
         t = t.sort_by([("token", "ascending")])
@@ -428,38 +435,51 @@ def _offers(members: DataFrame, sigs: DataFrame, percent: int, partners: int) ->
         a, b, held = [], [], False
         for s, e in zip(cut[:-1], cut[1:], strict=True):
             i, j, room = traverse(t.slice(s, e - s), percent)
-            keep = best_partners(i, j, room, partners)
-            held = held or not keep.all()
-            a.append(cls[s + i[keep]])
-            b.append(cls[s + j[keep]])
+            if partners is not None:
+                keep = best_partners(i, j, room, partners)
+                held = held or not keep.all()
+                i, j = i[keep], j[keep]
+            a.append(cls[s + i])
+            b.append(cls[s + j])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
         return pairs.append_column("held", pa.array([held] * pairs.num_rows, pa.bool_()))
 
-    rows = _tiles(members, percent).join(sigs.select("cls", "sig"), "cls")
+    rows = tiles.join(sigs.select("cls", F.col(sig).alias("sig")), "cls")
     return rows.select("g", "token", "side", "cls", "comp", "n", "sig").groupBy("g").applyInArrow(tile, "a long, b long, held boolean")
 
 
+def _offers_at_once(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of blocks of up to PART classes that the signatures leave; several blocks share a task's tree walk."""
+    few = _expanded(members.where(F.col("size") <= FANOUT), percent)
+    several = members.where((F.col("size") > FANOUT) & (F.col("size") <= PART))
+    bins = F.pmod(F.xxhash64("token", F.lit("bin")), F.lit(max(1, several.count() // PART))).alias("g")
+    walked = _traversed(several.select(bins, F.lit(0).alias("side"), "token", "cls", "comp", "n"), sigs, "mini", percent, None)
+    both = _within_bound(few, sigs, percent, "mini").union(walked.select("a", "b")).distinct()
+    return _within_bound(both, sigs, percent, "sig")
+
+
 def _components(base: DataFrame, blocks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
     """(id, component) of the classes that link."""
     wanted = blocks.select("cls").distinct()
-    sigs = stored(docs.where("sig is not null").select(F.col("c1").alias("cls"), "n", "sig").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]))
+    sigs = docs.where("sig is not null").select(F.col("c1").alias("cls"), "n", "sig", "mini").join(wanted, "cls", "left_semi")
+    sigs = stored(sigs.dropDuplicates(["cls"]))
     stars = blocks.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b"), "n").distinct()
     stars = stars.join(classes.select(F.col("c1").alias("a"), F.col("n").alias("m")), "a").where(_near_in_size("n", "m", percent)).select("a", "b")
-    tried = stored(_within_bound(stars, sigs, percent))
-    links = _verified(base, tried, classes, k, percent, seed)
+    tried = stored(_bounded(stars, sigs, percent))
     release(base.sparkSession)
+    links = _verified(base, tried, classes, k, percent, seed)
     comp, partners = components(links), PARTNERS
     while True:
         members = _open(blocks, comp)
-        offers = _offers(members.where(F.col("size") > FANOUT), sigs, percent, partners)
-        if partners == PARTNERS:  # the pairs of small blocks are offered at once
-            few = _within_bound(_expanded(members.where(F.col("size") <= FANOUT), percent), sigs, percent)
-            offers = offers.unionByName(few.withColumn("held", F.lit(False)))
+        offers = _traversed(_tiles(members.where(F.col("size") > PART), percent), sigs, "sig", percent, partners)
+        if partners == PARTNERS:
+            offers = offers.unionByName(_offers_at_once(members, sigs, percent).withColumn("held", F.lit(False)))
         offers = stored(offers.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held")))
         held = offers.where("held").limit(1).count() > 0
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         new = stored(offers.select("a", "b").join(known, ["a", "b"], "left_anti"))
+        release(base.sparkSession)
         found = _verified(base, new, classes, k, percent, seed)
         if found.limit(1).count():
             comp = components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
