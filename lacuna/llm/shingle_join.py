@@ -199,9 +199,13 @@ def traverse(part: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
     def tree(rows: np.ndarray, w: int) -> SignatureTree:
         return SignatureTree(n[rows], np.stack([fold(sigs[r], 8 * w) for r in rows]), comp[rows])
 
+    # components that fill nodes stand together, the others by size
+    _, which, count = np.unique(comp, return_inverse=True, return_counts=True)
+    apart = np.where(count[which] >= FANOUT, which, -1)
+
     def rows_of(w: int, of: int) -> np.ndarray:
         rows = np.flatnonzero((width == w) & (side == of))
-        return rows[np.lexsort((n[rows], comp[rows]))]
+        return rows[np.lexsort((n[rows], apart[rows]))]
 
     left, right, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for w in np.unique(width).tolist():
@@ -412,51 +416,50 @@ def _parts(members: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """(g, token, side, cls, comp, n): one ``g`` for each pair of parts of a large block that may hold links."""
+    """(g, side, cls, comp, n): one ``g`` for each pair of parts of a large block that may hold links."""
     cut = _parts(members)
     parts = cut.groupBy("token", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("own").alias("own"))
     a, b = (parts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("part", "lo", "hi", "own")]) for x in "ab")
     near = 100 * F.least("hi_a", "hi_b") >= percent * F.greatest("lo_a", "lo_b")
     pairs = stored(a.join(b, "token").where((F.col("part_a") <= F.col("part_b")) & near & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False))).select("token", "part_a", "part_b"))
     g = F.xxhash64("token", "part_a", "part_b").alias("g")
-    rows = ["token", "cls", "comp", "n"]
+    rows = ["cls", "comp", "n"]
     left = cut.join(pairs.withColumn("part", F.col("part_a")), ["token", "part"]).select(g, F.lit(0).alias("side"), *rows)
     right = cut.join(pairs.where("part_a < part_b").withColumn("part", F.col("part_b")), ["token", "part"]).select(g, F.lit(1).alias("side"), *rows)
     return left.union(right)
 
 
-def _traversed(tiles: DataFrame, sigs: DataFrame, sig: str, percent: int, partners: int | None) -> DataFrame:
-    """(a, b, held): pairs (a < b) that the traversals offer, and whether one held others back."""
+def _traversed(tiles: DataFrame, sigs: DataFrame, percent: int, partners: int | None) -> DataFrame:
+    """(a, b, held): pairs (a < b) that the traversal of each ``g`` offers, and whether it held others back."""
 
     def tile(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("token", "ascending")])
-        tokens, cls = t["token"].to_numpy(), t["cls"].to_numpy()
-        cut = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
-        a, b, held = [], [], False
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            i, j, room = traverse(t.slice(s, e - s), percent)
-            if partners is not None:
-                keep = best_partners(i, j, room, partners)
-                held = held or not keep.all()
-                i, j = i[keep], j[keep]
-            a.append(cls[s + i])
-            b.append(cls[s + j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
-        return pairs.append_column("held", pa.array([held] * pairs.num_rows, pa.bool_()))
-
-    rows = tiles.join(sigs.select("cls", F.col(sig).alias("sig")), "cls")
-    return rows.select("g", "token", "side", "cls", "comp", "n", "sig").groupBy("g").applyInArrow(tile, "a long, b long, held boolean")
+        cls = t["cls"].to_numpy()
+        i, j, room = traverse(t, percent)
+        held = False
+        if partners is not None:
+            keep = best_partners(i, j, room, partners)
+            held, i, j = not keep.all(), i[keep], j[keep]
+        a, b = cls[i], cls[j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "held": np.full(len(a), held)})
+
+    rows = tiles.join(sigs.select("cls", "sig"), "cls")
+    return rows.select("g", "side", "cls", "comp", "n", "sig").groupBy("g").applyInArrow(tile, "a long, b long, held boolean")
 
 
 def _offers_at_once(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of blocks of up to PART classes that the signatures leave; several blocks share a task's tree walk."""
+    """(a, b): all pairs of blocks of up to PART classes that the signatures leave.
+
+    Blocks of a family share most classes, so blocks with the same least component are held in one tree, up to some
+    4 * PART rows of them, in which a class stands once.
+    """
     few = _expanded(members.where(F.col("size") <= FANOUT), percent)
     several = members.where((F.col("size") > FANOUT) & (F.col("size") <= PART))
-    bins = F.pmod(F.xxhash64("token", F.lit("bin")), F.lit(max(1, several.count() // PART))).alias("g")
-    walked = _traversed(several.select(bins, F.lit(0).alias("side"), "token", "cls", "comp", "n"), sigs, "mini", percent, None)
-    both = _within_bound(few, sigs, percent, "mini").union(walked.select("a", "b")).distinct()
-    return _within_bound(both, sigs, percent, "sig")
+    kin = stored(several.groupBy("c0").agg(F.count("*").alias("kin")))
+    bins = max(1, (kin.agg(F.sum("kin")).first()[0] or 0) // (4 * PART))
+    share = F.pmod(F.xxhash64("token", F.lit("share")), F.ceil(F.col("kin") / (4 * PART)))
+    dealt = salted_join(several, kin, ["c0"], spread="token").select(F.pmod(F.xxhash64("c0", share), F.lit(bins)).alias("g"), F.lit(0).alias("side"), "cls", "comp", "n")
+    walked = _traversed(dealt.distinct(), sigs, percent, None).select("a", "b").distinct()
+    return _bounded(few, sigs, percent).union(walked)
 
 
 def _components(base: DataFrame, blocks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
@@ -472,7 +475,7 @@ def _components(base: DataFrame, blocks: DataFrame, docs: DataFrame, classes: Da
     comp, partners = components(links), PARTNERS
     while True:
         members = _open(blocks, comp)
-        offers = _traversed(_tiles(members.where(F.col("size") > PART), percent), sigs, "sig", percent, partners)
+        offers = _traversed(_tiles(members.where(F.col("size") > PART), percent), sigs, percent, partners)
         if partners == PARTNERS:
             offers = offers.unionByName(_offers_at_once(members, sigs, percent).withColumn("held", F.lit(False)))
         offers = stored(offers.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held")))
@@ -490,11 +493,11 @@ def _components(base: DataFrame, blocks: DataFrame, docs: DataFrame, classes: Da
 
 
 def _open(blocks: DataFrame, comp: DataFrame) -> DataFrame:
-    """(token, cls, comp, n, size) of the blocks that hold several components."""
+    """(token, cls, comp, n, size, c0) of the blocks that hold several components, of which c0 is the least."""
     named = blocks.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
     named = stored(named)
     ends = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"))
-    held = stored(ends.where("c0 < c1").select("token", "size"))
+    held = stored(ends.where("c0 < c1").select("token", "size", "c0"))
     out = stored(named.join(held, "token"))
     drop(named, held)
     return out
