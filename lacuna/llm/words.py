@@ -49,7 +49,7 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def _hash_chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = ~is_space(data)
     before = np.empty_like(word)
     before[0] = False
@@ -57,7 +57,7 @@ def _hash_chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     before[breaks[breaks < len(data)]] = False
     starts = np.flatnonzero(word & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, starts
     after = np.zeros_like(word)
     after[:-1] = word[1:] & before[1:]
     ends = np.flatnonzero(word & ~after) + 1
@@ -66,7 +66,7 @@ def _hash_chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     total[0] = 0
     np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64)), starts
+    return mix64(h + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +74,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 
     Returns (hashes, bounds) where the words of text i are hashes[bounds[i]:bounds[i+1]].
     """
+    hashes, _, _, bounds = word_places(data, offsets, lower)
+    return hashes, bounds
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, bounds): word_hashes() with the places of the words in ``data``."""
     offsets = np.asarray(offsets, np.int64)
-    hashes, starts = [], []
+    hashes, starts, ends = [], [], []
     pos, end = int(offsets[0]), int(offsets[-1])
     while pos < end:
         stop = min(end, pos + CHUNK)
@@ -93,14 +99,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
                     stop = stop + int(space[0]) + 1 if len(space) else ahead
         part = data[pos:stop]
         at = offsets[np.searchsorted(offsets, pos) : np.searchsorted(offsets, stop)] - pos
-        h, s = _hash_chunk(_lower(part) if lower else part, at)
+        h, s, e = _hash_chunk(_lower(part) if lower else part, at)
         hashes.append(h)
         starts.append(s + pos)
+        ends.append(e + pos)
         pos = stop
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
     where = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(where, offsets)
+    return np.concatenate(hashes), where, np.concatenate(ends), np.searchsorted(where, offsets)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
