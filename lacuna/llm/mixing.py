@@ -5,36 +5,59 @@ words; a target stops at ``cap`` times its source's size and the excess is share
 
 Rates: among all document rates the ones of least relative entropy to 1 that give each source its words
 and exceed no ``cap`` are exponential tilts, rate = min(cap, exp(lambda * size / scale)), one multiplier a source.
-The multipliers solve the convex dual by Newton iterations (kept inside a shrinking bracket) over the histogram
-(source, size) -> documents, so an iteration never touches the documents.
-
-Copies: in each source, running sums of the rates from the largest size down are rounded, which gives each
-histogram cell its number of copies; inside a cell copies are dealt evenly by a hash of the key.  Everything is a
-function of the rows, so reruns agree.
-
-Sizes: words of the text, null text 0.  Documents without words take nothing.  Rows are told apart by their
-key and, where keys repeat or are null, by nothing else: equal rows get their share in any order.  Extra columns do no harm.
-A hot source or cell is dealt by salt; windows run over the distinct sizes of one source only, whose number is at most the
-size of the largest document.  What the driver reads per iteration is a row of sums.
+The multipliers solve the convex dual by Newton iterations (kept inside a shrinking bracket, until every source is at its
+target or its bracket is closed) over the histogram (source, size) -> documents, so an iteration never touches the
+documents.  Sums over the histogram are exact decimals, which no order of rows changes.
+
+Copies: in each source, running sums of the rates from the largest size down are rounded, which gives each cell
+(source, size) of the histogram its number of copies.  Inside a cell all rows get the whole part, and the rows with the
+least hashes of key and text one more; the hash up to which they do is found in slices of the hashes' range, whose
+number follows the cell's rows, so no task sorts a hot cell.  What a row takes then depends on its own values and its
+cell's only.  Everything is a function of the rows, so reruns agree.
+
+Sizes: words of the text, null text 0.  Documents without words take nothing.  Null keys and sources are values like
+others.  Repeated rows (equal key and text) share what their group takes, any of them getting the odd one.  Extra
+columns travel along.  An empty table gives an empty result.  Windows run over the distinct sizes of one source, whose
+number is at most the size of the largest document, over the slices of one cell, and over one slice; what the driver reads
+per iteration is a row of sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import salted_join, stored as checkpoint
+from lacuna.llm.common import drop, salted_join, small, stored
 
 _BREAK = "[ \\t\\n\\x0B\\f\\r]+"
-SALTS = 16
+#: Rows of a cell that are ranked together.
+SLICE = 512
+#: Farthest a multiplier goes: rates of documents half as large as the largest are then beyond any double.
+FAR = 1e6
 
 
-def sizes(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """(key, source, size) of each row."""
+def size_of(text: str) -> Column:
+    """Words of a text column."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.size(F.split(t, _BREAK, -1)) - F.when(t.rlike("^[ \\t\\n\\x0B\\f\\r]"), 1).otherwise(0) - F.when(t.rlike("[ \\t\\n\\x0B\\f\\r]\\z"), 1).otherwise(0)
-    blank = ~t.rlike("[^ \\t\\n\\x0B\\f\\r]")
-    return df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.when(blank, 0).otherwise(words).cast("long").alias("size"))
+    return F.when(~t.rlike("[^ \\t\\n\\x0B\\f\\r]"), 0).otherwise(words).cast("long")
+
+
+def draw_of(key: str, text: str) -> Column:
+    """Hash that orders the rows of a cell."""
+    return F.xxhash64(F.col(key).cast("string"), F.lit("mix"), F.col(text))
+
+
+def _source_key(source: str) -> Column:
+    """A source as a join key: null is a value of its own."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+
+
+def _exact(c: Column) -> Column:
+    """A sum that does not depend on the order of rows: to a millionth, as a decimal."""
+    return F.sum(c.cast("decimal(38,6)")).cast("double")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -43,7 +66,7 @@ def ranked(sources: DataFrame) -> DataFrame:
     Range partitions are ranked apart and shifted by the counts of those before, so no task holds all sources.
     """
     last = F.col("source").isNull()
-    part = checkpoint(sources.repartitionByRange(last, F.col("source")).withColumn("__p", F.spark_partition_id()))
+    part = stored(sources.repartitionByRange(last, F.col("source")).withColumn("__p", F.spark_partition_id()))
     counts = part.groupBy("__p").count()
     shift = counts.alias("a").join(counts.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__shift"))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(last, "source")) - 1
@@ -51,96 +74,123 @@ def ranked(sources: DataFrame) -> DataFrame:
 
 
 def targets(histogram: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(source, source_size, target) from (source, size, n)."""
-    src = ranked(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
+    """(k, source, source_size, target) from (k, source, size, n)."""
+    src = ranked(histogram.groupBy("k", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
-    src = checkpoint(src.select("source", "source_size", weight.alias("w"), (F.col("source_size") * cap).alias("limit")))
+    src = stored(src.select("k", "source", "source_size", weight.alias("w"), (F.col("source_size") * cap).alias("limit")))
     total = src.agg(F.sum("source_size")).first()[0] or 0
-    level = 0.0
-    for _ in range(1000):
+    # the level rises from below and each round fixes the sources that it stops, so it ends after at most one round a source
+    level, before = 0.0, -1
+    while True:
         stopped = F.col("w") * level >= F.col("limit")
-        row = src.agg(F.sum(F.when(stopped, F.col("limit")).otherwise(0.0)).alias("full"), F.sum(F.when(stopped, 0.0).otherwise(F.col("w"))).alias("open")).first()
-        if not row["open"]:
+        row = src.agg(_exact(F.when(stopped, F.col("limit")).otherwise(0.0)).alias("full"), F.sum(F.when(stopped, 0.0).otherwise(F.col("w"))).alias("open"), F.count_if(stopped).alias("n")).first()
+        if not row["open"] or row["n"] == before:
             break
-        new = (share * total - row["full"]) / row["open"]
-        if level and abs(new - level) <= 1e-15 * abs(new):
-            break
-        level = new
-    return src.select("source", "source_size", F.least("limit", F.col("w") * level).alias("target"))
+        before, level = row["n"], (share * total - row["full"]) / row["open"]
+    return src.select("k", "source", "source_size", F.least("limit", F.col("w") * level).alias("target"))
 
 
-def multipliers(histogram: DataFrame, target: DataFrame, cap: float = 2.0, rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
-    """(source, source_size, target, scale, lam): the dual solution of each source.
+def multipliers(histogram: DataFrame, target: DataFrame, cap: float = 2.0, tolerance: float = 1e-7) -> DataFrame:
+    """(k, scale, lam): the dual solution of each source that has words and a target.
 
-    Newton's step is taken where it stays inside the bracket of the root, else the bracket is halved.
+    Newton's step is taken where it stays inside the bracket of the root, else the bracket is halved; a bracket that is
+    no wider than rounding is a root.
     """
-    scale = histogram.groupBy("source").agg(F.max("size").cast("double").alias("scale"))
-    state = target.join(scale, target["source"].eqNullSafe(scale["source"])).drop(scale["source"])
-    state = state.withColumn("__k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    state = checkpoint(state.select("*", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi")).where("source_size > 0 and target > 0"))
-    cells = checkpoint(histogram.where("size > 0").withColumn("__k", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"))
+    scale = histogram.groupBy("k").agg(F.max("size").cast("double").alias("scale"))
+    state = target.join(scale, "k").where("source_size > 0 and target > 0")
+    state = stored(state.select("k", "target", "scale", F.lit(0.0).alias("lam"), F.lit(-FAR).alias("lo"), F.lit(FAR).alias("hi")))
+    cells = histogram.where("size > 0").select("k", "size", "n")
     x = F.col("size") / F.col("scale")
-    for _ in range(rounds):
-        tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
-        rate = F.least(tilt, F.lit(cap))
-        sums = (
-            salted_join(cells, state.select("__k", "scale", "lam"), ["__k"], spread="size", salts=SALTS)
-            .groupBy("__k")
-            .agg(F.sum(rate * F.col("size") * F.col("n")).alias("got"), F.sum(F.when(tilt < cap, tilt * x * F.col("size") * F.col("n")).otherwise(0.0)).alias("slope"))
-        )
+    tilt = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
+    words = F.col("size") * F.col("n")
+    for _ in itertools.count():
+        sums = salted_join(cells, state.select("k", "scale", "lam"), ["k"], spread="size").groupBy("k")
+        sums = sums.agg(_exact(F.least(tilt, F.lit(cap)) * words).alias("got"), _exact(F.when(tilt < cap, tilt * x * words).otherwise(0.0)).alias("slope"))
         miss = F.col("got") - F.col("target")
-        near = F.abs(miss) <= tolerance * F.col("target")
-        step = F.col("lam") - miss / F.greatest(F.col("slope"), F.lit(1e-300))
         lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
+        near = (F.abs(miss) <= tolerance * F.col("target")) | (hi - lo <= 1e-12 * F.greatest(F.lit(1.0), F.abs("lam")))
+        step = F.col("lam") - miss / F.greatest(F.col("slope"), F.lit(1e-300))
         half = F.when((lo < 0) & (hi > 0), F.lit(0.0)).otherwise((lo + hi) / 2)
-        wide = F.when(lo <= -1e6, F.when(F.col("lam") < 0, F.col("lam") * 8).otherwise(-1.0)).when(hi >= 1e6, F.when(F.col("lam") > 0, F.col("lam") * 8).otherwise(1.0)).otherwise(half)
-        new = F.when(near, F.col("lam")).when((step > lo) & (step < hi), step).otherwise(F.greatest(F.least(wide, F.lit(1e6)), F.lit(-1e6)))
-        state = state.join(sums, "__k").withColumns({"near": near, "new": new, "lo2": lo, "hi2": hi})
-        state = checkpoint(state.select("__k", "source", "source_size", "target", "scale", F.col("new").alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "near"))
-        if not state.where("not near").limit(1).count():
-            break
-        state = state.drop("near")
-    return state.select("source", "source_size", "target", "scale", "lam")
+        wide = F.when(lo <= -FAR, F.when(F.col("lam") < 0, F.col("lam") * 8).otherwise(-1.0)).when(hi >= FAR, F.when(F.col("lam") > 0, F.col("lam") * 8).otherwise(1.0)).otherwise(half)
+        aside = F.greatest(F.least(wide, F.lit(FAR)), F.lit(-FAR))
+        new = F.when(near, F.col("lam")).when((step > lo) & (step < hi), step).otherwise(aside)
+        done = near | (new == F.col("lam"))
+        turned = stored(state.join(sums, "k").select("k", "target", "scale", new.alias("lam"), lo.alias("lo"), hi.alias("hi"), done.alias("done")))
+        drop(state)
+        state = turned
+        if not state.where("not done").limit(1).count():
+            return state.select("k", "scale", "lam")
+
+
+def cells_of(docs: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """What the rows of each cell take, from ``docs(k, source, size, h)``.
+
+    (k, source, size, source_size, target, rate, base, last, odd, ties): ``base`` copies each, one more for rows whose ``h``
+    is below ``last``, and for ``odd`` of the ``ties`` rows whose ``h`` is ``last``.
+    """
+    histogram = stored(docs.groupBy("k", "source", "size").agg(F.count("*").alias("n")))
+    goal = stored(targets(histogram, weights, share, cap))
+    lam = multipliers(histogram, goal, cap)
+    full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
+    tilt = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(cap))
+    rate = F.coalesce(F.when(F.col("size") == 0, 0.0).when(full, cap).otherwise(tilt), F.lit(0.0))
+    known = goal.join(lam, "k", "left")
+    c = histogram.select("k", "size", "n").join(known, "k").select("k", "source", "size", "n", "source_size", "target", rate.alias("rate"))
+    down = Window.partitionBy("k").orderBy(F.desc("size"))
+    c = c.withColumn("__up", F.floor(F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 0.5))
+    taken = F.least(F.col("__up") - F.coalesce(F.lag("__up").over(down), F.lit(0)), F.col("n") * int(cap))
+    c = c.withColumn("__c", taken).withColumn("base", F.expr("__c div n")).withColumn("more", F.col("__c") % F.col("n"))
+    c = stored(c.withColumn("slices", F.ceil(F.col("n") / SLICE)).drop("__up", "__c"))
+    # the slice of the hashes' range, and in it the hash, up to which rows get one more
+    cell = ["k", "size"]
+    some = salted_join(docs.select("k", "size", "h"), c.where("more > 0").select(*cell, "more", "slices"), cell, spread="h")
+    place = F.floor((F.col("h") / float(1 << 63) + 1) / 2 * F.col("slices"))
+    some = stored(some.withColumn("slice", F.least(place, F.col("slices") - 1)))
+    counts = some.groupBy(*cell, "slice").agg(F.count("*").alias("m"), F.first("more").alias("more"))
+    upto = F.sum("m").over(Window.partitionBy(*cell).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = counts.withColumn("rest", F.col("more") - (upto - F.col("m"))).where((F.col("rest") > 0) & (F.col("rest") <= F.col("m")))
+    inside = some.drop("more").join(stored(found.select(*cell, "slice", "rest")), [*cell, "slice"])
+    ordered = Window.partitionBy(*cell).orderBy("h")
+    inside = inside.withColumn("__i", F.row_number().over(ordered)).withColumn("__r", F.rank().over(ordered)).withColumn("ties", F.count("*").over(ordered.rangeBetween(Window.currentRow, Window.currentRow)))
+    last = inside.where("__i = rest").select(*cell, F.col("h").alias("last"), (F.col("rest") - F.col("__r") + 1).alias("odd"), "ties")
+    out = stored(c.join(last, cell, "left").select("k", "source", "size", "source_size", "target", "rate", "base", "last", F.coalesce("odd", F.lit(0)).alias("odd"), "ties"))
+    drop(histogram, goal, c, some)
+    return out
+
+
+def _joined(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    return docs.join(small(cells), ["k", "size"])
 
 
 def copies(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(key, source, size, source_size, target, rate, copies) of each row."""
-    docs = checkpoint(sizes(df, text, key, source))
-    salt = F.pmod(F.xxhash64("key", F.lit("mix")), F.lit(SALTS))
-    salted = checkpoint(docs.groupBy("source", "size", salt.alias("salt")).agg(F.count("*").alias("m")))
-    histogram = checkpoint(salted.groupBy("source", "size").agg(F.sum("m").alias("n")))
-    goal = checkpoint(targets(histogram, weights, share, cap))
-    lam = multipliers(histogram, goal, cap)
-    # cells: rate, and copies by rounded running sums from the largest size down
-    g, m = goal.alias("g"), lam.select(F.col("source").alias("s2"), "scale", "lam").alias("m")
-    known = g.join(m, F.col("g.source").eqNullSafe(F.col("m.s2")), "left").drop("s2")
-    full = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
-    rate = F.when(F.col("size") == 0, 0.0).when(full, cap).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(cap)))
-    c = histogram.alias("h").join(known.alias("k"), F.col("h.source").eqNullSafe(F.col("k.source")))
-    c = c.select(F.col("h.source").alias("source"), "size", "n", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate"))
-    down = Window.partitionBy("source").orderBy(F.desc("size"))
-    c = c.withColumn("__up", F.floor(F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + 0.5))
-    c = c.withColumn("cell_copies", F.least(F.col("__up") - F.coalesce(F.lag("__up").over(down), F.lit(0)), F.col("n") * int(cap)))
-    # places inside a cell: salts side by side
-    before = F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")
-    s = salted.withColumn("before", before).alias("s")
-    cells = s.join(c.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.size") == F.col("c.size")))
-    cells = cells.select(F.col("s.source").alias("source"), F.col("s.size").alias("size"), "salt", "before", "n", "source_size", "target", "rate", "cell_copies")
-    place = F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("key"), "key")) - 1
-    d = docs.withColumn("salt", salt).withColumn("place", place).alias("d")
-    out = d.join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size")) & (F.col("d.salt") == F.col("c.salt")))
-    at = F.col("place") + F.col("before")
-    share_of = F.floor(((at + 1) * F.col("cell_copies")) / F.col("n")) - F.floor((at * F.col("cell_copies")) / F.col("n"))
-    return out.select(F.col("d.key").alias(key), F.col("d.source").alias("source"), F.col("d.size").alias("size"), "source_size", "target", "rate", share_of.cast("long").alias("copies"))
-
-
-def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The rows of ``df`` as often as the mix takes them, with its columns.  Rows equal in key, source and text
-    share the copies of their group evenly."""
-    marked = df.withColumn("__id", F.xxhash64(key, source, text))
-    n = copies(marked, text, "__id", source, **options).groupBy("__id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).where("__copies > 0")
-    alike = Window.partitionBy("__id").orderBy(key)
-    joined = marked.join(n, "__id").withColumn("__i", F.row_number().over(alike))
-    take = F.floor(F.col("__i") * F.col("__copies") / F.col("__rows")) - F.floor((F.col("__i") - 1) * F.col("__copies") / F.col("__rows"))
-    taken = joined.withColumn("__take", take.cast("int")).where("__take > 0")
-    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__take")))).select(*df.columns)
+    docs = stored(df.select(F.col(key).alias("key"), F.col(source).alias("source"), _source_key(source).alias("k"), size_of(text).alias("size"), draw_of(key, text).alias("h")))
+    d = _joined(docs.drop("source"), cells_of(docs, weights, share, cap))
+    tie = F.col("h") == F.col("last")
+    plain = d.where(F.col("last").isNull() | ~tie).withColumn("extra", F.coalesce(F.col("h") < F.col("last"), F.lit(False)).cast("long"))
+    at = F.row_number().over(Window.partitionBy("k", "size").orderBy("key"))
+    ties = d.where(tie).withColumn("extra", (at <= F.col("odd")).cast("long"))
+    both = plain.unionByName(ties)
+    return both.select(F.col("key").alias(key), "source", "size", "source_size", "target", "rate", (F.col("base") + F.col("extra")).cast("long").alias("copies"))
+
+
+def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The rows of ``df`` as often as the mix takes them, with its columns.
+
+    Texts are not shuffled: a row's copies follow from its own values and a table of cells that is broadcast if it is
+    small.  Only where several rows have a cell's last hash are these gathered, as one row and its number.
+    """
+    narrow = stored(df.select(F.col(source).alias("source"), _source_key(source).alias("k"), size_of(text).alias("size"), draw_of(key, text).alias("h")))
+    cells = cells_of(narrow, weights, share, cap)
+    cells = cells.select(F.col("k").alias("__k"), F.col("size").alias("__size"), F.struct("base", "last", "odd", "ties").alias("__c"))
+    drop(narrow)
+    marked = df.withColumns({"__k": _source_key(source), "__size": size_of(text), "__h": draw_of(key, text)}).join(small(cells), ["__k", "__size"])
+    at, last, ties = F.col("__h"), F.col("__c.last"), F.col("__c.ties")
+    more = F.coalesce((at < last) | (at == last) & (ties == 1), F.lit(False)).cast("long")
+    rows = marked.select(*df.columns, (F.col("__c.base") + more).alias("__take"))
+    if cells.where("__c.ties > 1").limit(1).count():  # the odd ones of equal rows are copies of one of them
+        of = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        odd = marked.where((at == last) & (ties > 1)).groupBy("__k", "__size", "__h").agg(F.first(of).alias("__row"), F.first("__c.odd").alias("__take"))
+        rows = rows.union(odd.select("__row.*", F.col("__take").cast("long")))
+    taken = rows.where("__take > 0")
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__take").cast("int")))).select(*df.columns)
