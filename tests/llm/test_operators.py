@@ -292,18 +292,62 @@ def test_embeddings(spark, empty):
     out = {x["vec_id"]: x for x in embedding_dups.near_duplicates(df).collect()}
     assert len(out) == len(rows) + len(bad)
     want = near.sum(1) - 1
-    got = np.array([out[i]["n_links"] for i in range(len(v))])
-    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+    component = np.arange(len(v))
+    while (new := np.array([component[row].min() for row in near])).tolist() != component.tolist():
+        component = new
+    # no cosine lies near the threshold, so recall is whole
+    assert [out[i]["n_links"] for i in range(len(v))] == want.tolist() and want.sum() > 250
+    assert [out[i]["component_id"] for i in range(len(v))] == component.tolist()
     for k, _, _ in bad:
         assert out[k]["n_links"] == 0 and out[k]["component_id"] == k and out[k]["kept"]
-    for i in range(len(v)):
-        assert out[i]["kept"] == (out[i]["component_id"] == i) and out[i]["component_id"] <= i
+    assert all(out[i]["kept"] == (component[i] == i) for i in range(len(v)))
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dups.near_duplicates(none).count() == 0
+    off = spark.createDataFrame([(None, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embedding_dups.near_duplicates(off).collect()) == [(0, 0, None), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_many_lengths_of_vectors(spark):
+    """Seventy lengths, each with a pair that links."""
+    r = np.random.default_rng(3)
+    rows = []
+    for n in range(2, 300, 4):
+        x = r.normal(size=n)
+        rows += [(n, x.tolist()), (1000 + n, (x + 0.01 * r.normal(size=n)).tolist()), (2000 + n, (-x).tolist())]
+    out = embedding_dups.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x["vec_id"]: x["component_id"] for x in out} == {k: k - 1000 if 1000 <= k < 2000 else k for k, _ in rows}
+
+
+def test_code_estimates():
+    r = np.random.default_rng(5)
+    u = r.normal(size=(400, 64))
+    u[200:] = u[:200] + 0.35 * r.normal(size=(200, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     codes = embedding_dups.Codes(u, 256)
-    est = (codes.rotated @ codes.code.T) / codes.factor
-    off = ~np.eye(len(u), dtype=bool)
-    assert abs((est - u @ u.T)[off].mean()) < 0.01 and (np.abs(est - u @ u.T) <= 4 * codes.error[None, :] + 1e-6).mean() > 0.999
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(400), np.arange(400)))
+    off = i != j
+    guess, error = embedding_dups.estimates(codes.rotated[i[off]], embedding_dups.signs(codes.packed)[j[off]], codes.factor[j[off]])
+    miss = guess - np.einsum("ij,ij->i", u[i[off]], u[j[off]])
+    assert abs(miss.mean()) < 0.01 and (np.abs(miss) <= 4 * error).mean() > 0.999
+    near = (u @ u.T >= 0.9) & ~np.eye(400, dtype=bool)
+    found = np.zeros((400, 400), bool)
+    for x, y in embedding_dups.code_pairs(codes.packed, codes.packed, embedding_dups.most_differing(0.9, 256, 5), True):
+        found[x, y] = True
+    assert near.sum() > 100 and (found[np.triu(near)]).all() and found.sum() < 0.02 * found.size
+
+
+def test_tables_meet_the_recall():
+    r = np.random.default_rng(7)
+    for n in (500, 100_000, 10_000_000):
+        width, tables = embedding_dups.plan(n, 0.9, 0.99)
+        a = r.normal(size=(1500, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b = r.normal(size=(1500, 64))
+        b -= (a * b).sum(1)[:, None] * a
+        b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        chosen = embedding_dups.chosen_bits(width, tables, 256)
+        x, y = (embedding_dups.bucket_keys(embedding_dups.Codes(v, 256).packed, chosen) for v in (a, b))
+        assert (x == y).any(1).mean() >= 0.975
 
 
 def test_packing(docs, empty):
