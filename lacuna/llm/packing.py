@@ -97,14 +97,15 @@ def by_curve(df: DataFrame, task_bytes: int = 64 << 20, sample_rows: int = 20_00
     """``df(k, t, salt)`` dealt to ranges of the curve and sorted.
 
     There is a range for every ``task_bytes`` of text, or for a smaller table as many as keep the cores busy.  Their ends
-    are quantiles over about ``sample_rows`` rows (20 a range if these are more) picked by hash: keys are computed once
-    for every row and once more for the sample only, where a range shuffle would compute all twice.
+    are quantiles of the bytes of about ``sample_rows`` rows (20 a range if these are more) picked by hash: keys are
+    computed once for every row and once more for the sample only, where a range shuffle would compute all twice.
     """
     whole = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
     n = max(1, -(-whole["bytes"] // task_bytes), min(3 * df.sparkSession.sparkContext.defaultParallelism, whole["bytes"] >> 20))
     rate = min(1.0, max(sample_rows, 20 * n) / max(1, whole["rows"]))
     some = curve_keys(df.where(F.pmod(F.xxhash64("salt", "k"), F.lit(1 << 30)) < int(rate * (1 << 30))))
-    ends = some.agg(F.percentile_approx("h", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    ends = some.agg(F.percentile("h", [i / n for i in range(1, n)], F.octet_length(F.coalesce("t", F.lit(""))) + 1)).first()[0] if n > 1 else None
+    ends = [int(e) for e in ends or []]
     return curve_keys(df, ends).repartitionById(n, F.col("p")).sortWithinPartitions("h", "k")
 
 
@@ -255,7 +256,7 @@ def encoded(column: pa.Array, ids: Ids):
                 yield r, flat[bounds[r - i] : bounds[r - i + 1]]
 
 
-def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = 2048, end_id: int = 1, most_words: int = 1_500_000) -> DataFrame:
+def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = 2048, end_id: int = 1, most_words: int = 1_000_000) -> DataFrame:
     """One row a piece: (key, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     end = np.asarray([end_id], "<u4").tobytes()
 

@@ -126,46 +126,42 @@ def most_overlap(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray) ->
     return np.minimum(n - np.bitwise_count(p & ~q).sum(1), m - np.bitwise_count(q & ~p).sum(1))
 
 
-def dual(tree: SignatureTree, other: SignatureTree | None, percent: int, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual(tree: SignatureTree, other: SignatureTree | None, percent: int, words: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of leaves that may reach the threshold and lie in different components, and by how much they may exceed it.
 
-    ``step`` bounds the words of bitmaps that are held at once.
+    The descent is depth first by groups of pairs, so that about ``words`` words of bitmaps are held at once.
     """
     same = other is None
     other = tree if same else other
-    height = max(len(tree.levels), len(other.levels))
-    step = max(1, step // tree.levels[0]["map"].shape[1])
     up = lambda t, h: t.levels[min(h, len(t.levels) - 1)]
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for h in range(height - 1, -1, -1):
+    step = max(1, words // (FANOUT * FANOUT * tree.levels[0]["map"].shape[1]))
+    left, right, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    open_ = [(max(len(tree.levels), len(other.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while open_:
+        h, x, y = open_.pop()
         a, b = up(tree, h), up(other, h)
-        leaves = h == 0 or (a is tree.levels[0] and b is other.levels[0])
-        left, right, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for s in range(0, len(i), step):
-            x, y = i[s : s + step], j[s : s + step]
-            joined = (a["c0"][x] == a["c1"][x]) & (b["c0"][y] == b["c1"][y]) & (a["c0"][x] == b["c0"][y])
-            x, y = x[~joined], y[~joined]
-            # sizes: with the nearest sizes of both ranges
-            lo, hi = np.maximum(a["lo"][x], b["lo"][y]), np.minimum(a["hi"][x], b["hi"][y])
-            ok = 100 * hi >= percent * lo
-            x, y = x[ok], y[ok]
-            least = least_overlap(a["lo"][x], b["lo"][y], percent)
-            if leaves:
-                most = most_overlap(a["lo"][x], b["lo"][y], a["map"][x], b["map"][y])
-            else:
-                # shingles of a leaf lie in bits that both maps have, but for those that share a bit (slack)
-                most = np.minimum(a["slack"][x], b["slack"][y]) + np.bitwise_count(a["map"][x] & b["map"][y]).sum(1)
-            ok = most >= least
-            left.append(x[ok])
-            right.append(y[ok])
-            room.append(most[ok] / least[ok])
-        i, j, more = np.concatenate(left), np.concatenate(right), np.concatenate(room)
+        joined = (a["c0"][x] == a["c1"][x]) & (b["c0"][y] == b["c1"][y]) & (a["c0"][x] == b["c0"][y])
+        x, y = x[~joined], y[~joined]
+        # sizes: with the nearest sizes of both ranges
+        lo, hi = np.maximum(a["lo"][x], b["lo"][y]), np.minimum(a["hi"][x], b["hi"][y])
+        ok = 100 * hi >= percent * lo
+        x, y = x[ok], y[ok]
+        least = least_overlap(a["lo"][x], b["lo"][y], percent)
+        if h == 0:
+            most = most_overlap(a["lo"][x], b["lo"][y], a["map"][x], b["map"][y])
+        else:
+            # shingles of a leaf lie in bits that both maps have, but for those that share a bit (slack)
+            most = np.minimum(a["slack"][x], b["slack"][y]) + np.bitwise_count(a["map"][x] & b["map"][y]).sum(1)
+        ok = most >= least
+        x, y = x[ok], y[ok]
         if h:
-            i, j = _children(i, j, tree, other, h, same)
-    if same:
-        keep = i < j
-        i, j, more = i[keep], j[keep], more[keep]
-    return i, j, more
+            open_ += [(h - 1, *_children(x[s : s + step], y[s : s + step], tree, other, h, same)) for s in range(0, len(x), step)]
+            continue
+        once = x < y if same else np.ones(len(x), bool)
+        left.append(x[once])
+        right.append(y[once])
+        room.append((most[ok] / least[ok])[once])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(room)
 
 
 def _children(i, j, tree, other, h, same):
