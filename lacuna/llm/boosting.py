@@ -5,6 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 
+def platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """Sigmoid (slope, offset) by Newton's method on smoothed targets."""
+    if len(margin) == 0:
+        return 2.0, 0.0
+    pos, neg = good.sum(), (~good).sum()
+    t = np.where(good, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    w = np.array([1.0, 0.0])
+    x = np.stack([margin, np.ones_like(margin)], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - t) + 1e-3 * w
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        d = np.linalg.solve(h, g)
+        w -= np.clip(d, -5, 5)
+        if np.abs(d).max() < 1e-6:
+            break
+    return float(w[0]), float(w[1])
+
+
 class Boosted:
     def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: int = 8, l2: float = 1.0):
         self.trees, self.depth, self.rate, self.bins, self.least, self.l2 = trees, depth, rate, bins, least, l2
@@ -62,13 +81,6 @@ class Boosted:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.base + sum(self._tree(t, x) for t in self.model)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        """Platt's sigmoid on rows that the trees have not seen."""
-        from lacuna.llm.language import _platt
-
-        self.platt = _platt(self.margin(x), y.astype(bool))
-        return self
-
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, b = self.platt
         return 1 / (1 + np.exp(-np.clip(a * self.margin(x) + b, -30, 30)))

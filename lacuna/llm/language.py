@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lacuna.llm.boosting import platt
 from lacuna.llm.common import drop, map_arrow, small, stored
 
 #: Families of ISO 639-1 codes; a code that is not listed is a family of its own.
@@ -64,25 +65,6 @@ def features(text: str) -> np.ndarray:
     return counts / max(float(np.linalg.norm(counts)), 1e-9)
 
 
-def _platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """Sigmoid (slope, offset) by Newton's method on smoothed targets."""
-    if len(margin) == 0:
-        return 2.0, 0.0
-    pos, neg = good.sum(), (~good).sum()
-    t = np.where(good, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    w = np.array([1.0, 0.0])
-    x = np.stack([margin, np.ones_like(margin)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - t) + 1e-3 * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        d = np.linalg.solve(h, g)
-        w -= np.clip(d, -5, 5)
-        if np.abs(d).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1])
-
-
 def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15) -> np.ndarray:
     """Linear L2-loss support vector machine by dual coordinate descent; the last weight is the offset."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
@@ -134,7 +116,7 @@ class LanguageModel:
                 w = _svm(x[m & fit], np.where(y[m & fit] == i, 1.0, -1.0))
                 held = m & ~fit if (m & ~fit).sum() >= 4 else m
                 margin = x[held] @ w[:-1] + w[-1]
-                self.platt.append(_platt(margin, y[held] == i))
+                self.platt.append(platt(margin, y[held] == i))
                 self.pairs.append((i, j))
                 weights.append(w)
         self.pair_w = np.array(weights).T.astype(np.float32) if weights else None

@@ -80,10 +80,10 @@ def repeat_words(words: Column, width: int = 5) -> Column:
 
         return _let(F.sort_array(marked), runs)
 
-    hashes = F.transform(
-        F.sequence(F.lit(0), n - width),
-        lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)]),
-    )
+    def windows(hashed: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(width)]))
+
+    hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), windows)
     found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     return F.when(n <= width, F.lit(0).cast("long")).otherwise(found)
 

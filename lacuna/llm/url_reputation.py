@@ -3,7 +3,8 @@
 Labelled page outcomes (good or bad) are counted by host, registered domain and suffix.  Beta-binomial
 priors shrink them: the corpus rate is the prior of a suffix, the suffix's posterior mean that of a registered domain,
 the domain's that of a host; prior strengths are fitted by moments at each level.  A page is
-blocked if the lower bound of its host's posterior of being bad is above ``threshold``.  Explicit
+blocked if the lower bound of its host's posterior of being bad (mean less ``z`` standard deviations, not a beta quantile) is
+above ``threshold``.  Explicit
 rules (host and path prefix) come first, the longest that fits wins.
 
 Null urls and urls without :// have an empty host and path, and so the prior's verdict.  Hosts without a labelled page have
@@ -44,13 +45,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host without its port."""
+    """(registered domain, suffix) of a host without its port; an address is its own domain and suffix."""
     parts = F.split(F.regexp_replace(host, r":\d*$", ""), r"\.", -1)
     n = F.size(parts)
     second = F.element_at(parts, -2).isin(*SECOND_LEVEL.split()) & (F.length(F.element_at(parts, -1)) == 2)
     width = F.when((n > 2) & second, 2).otherwise(1)
     join = lambda k: F.array_join(F.slice(parts, F.greatest(n - k + 1, F.lit(1)), k), ".")
-    return F.when(n > 1, join(width + 1)).otherwise(join(width)), join(width)
+    name = F.regexp_replace(host, r":\d*$", "")
+    address = name.rlike(r"^\d+(\.\d+){3}$") | name.startswith("[")
+    return F.when(address, name).when(n > 1, join(width + 1)).otherwise(join(width)), F.when(address, name).otherwise(join(width))
 
 
 def _strength(counts: DataFrame, prior: str) -> float:

@@ -76,12 +76,48 @@ def test_personal_data(docs, empty, spark, sf_dir):
         assert personal_data.base_spans(r["text"]) == brute_spans(r["text"])
     (base, both), (_, plain) = personal_data.find(["call me: (614) 555-8001 or mail joe.12 at site dot com", "version 2024-01-02 of item 12345"])
     assert base == [] and {k for k, _, _ in both} == {"phone", "email"} and plain == []
+    for text, value in (("email me at john.smith at gmail dot com", "john.smith at gmail dot com"), ("john(at)corp.example.org", None), ("tel 020 7946 0958", "020 7946 0958"), ("0049 30 123456", None), ("mail john.smith @ gmail.com", "john.smith @ gmail.com")):
+        assert [text[a:b] for _, a, b in personal_data.find([text])[0][1]] == [value or text]
+    assert all(p >= 0.95 and r >= 0.6 for p, r in personal_data.report().values())
     assert personal_data.redact("x a@b.cd y", [("email", 2, 8)]) == "x [email] y"
     out = personal_data.scan(docs)
     assert out.count() == docs.count() and out.where("n_email < 0 or spans is null").count() == 0
     assert personal_data.scan(empty).count() == 0
 
 
+def brute_additions(text, learned):
+    """Candidates by likelihood, each held against all spans taken so far."""
+    trees, limits = learned
+    taken = personal_data.base_spans(text)
+    scored = [(trees.probability(np.array([personal_data.describe(text, s)], float))[0], i, s) for i, s in enumerate(personal_data.candidates(text))]
+    free = [x for x in scored if not any(a < x[2][2] and x[2][1] < b for _, a, b in taken)]
+    for p, _, s in sorted(free, key=lambda x: (-x[0], x[1])):
+        if p >= limits[s[0]] and not any(a < s[2] and s[1] < b for _, a, b in taken):
+            taken.append(s)
+    return sorted(taken, key=lambda s: (personal_data.KINDS.index(s[0]), s[1]))
+
+
+def test_added_spans(spark, sf_dir):
+    learned = personal_data.model()
+    r = __import__("random").Random(1)
+    texts = [" ".join(personal_data._example(r)[0] for _ in range(12)) for _ in range(20)]
+    texts += [x["text"] for x in common.table(spark, sf_dir, "documents").limit(60).collect()] + ["a at b at c dot d at e.f @ g.h dot com", "1.2.3.4 5.6 . 7 . 8 . 9"]
+    for t, (_, both) in zip(texts, personal_data.find(texts, learned, at_once=7), strict=True):
+        assert sorted(both) == sorted(brute_additions(t, learned)) and [personal_data.KINDS.index(k) for k, _, _ in both] == sorted(personal_data.KINDS.index(k) for k, _, _ in both)
+
+
+def test_personal_data_in_linear_time():
+    import time
+
+    piece = "call 020 7946 0958 or john.smith at gmail dot com, not 4111111111111112 "
+    took = []
+    for n in (20_000, 70_000):
+        start = time.process_time()
+        assert len(personal_data.find([piece * n])[0][1]) >= 2 * n
+        took.append((time.process_time() - start) / n)
+    assert took[1] < 2 * took[0] and took[1] * 70_000 < 60
+
+
 def test_language(docs, empty, spark, sf_dir):
     table = common.table(spark, sf_dir, "documents")
     out = language.identify(table).join(table.select("doc_id", "lang"), "doc_id")
