@@ -7,7 +7,7 @@ has one window, all its lines, which equals only windows of texts that have as f
 
 Null text has no lines and stays null.  Lines are cut at \\n; windows without a character other than
 white space are not compared.  Rows with the same key are one document: their windows stand at the same
-place, so neither is later than the other and both rows keep what the document keeps.  Extra columns are kept, but for
+place, so neither is later than the other and both rows keep what the document keeps.  Null keys come first and keep all.  Extra columns are kept, but for
 columns that are named as the two new ones (see ``prefix``), which these replace.
 
 Windows see passages of three lines or more.  A passage of one or two lines that repeats between differing lines is none

@@ -72,7 +72,31 @@ QUERIES = {
     "op10_url_reputation": op10_url_reputation,
 }
 
+#: Transitive closure of links (x, y), both directions in e; every node of ``nodes`` reaches itself.
+REACH = """e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT r.id, e.y FROM reach r JOIN e ON e.x = r.other)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_shingle_join": f"""
+WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+{REACH}
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM reach LEFT JOIN n ON n.doc_id = id GROUP BY id
+""",
+    "op8_embedding_dups": f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+      WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+{REACH},
+c AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT id AS vec_id, coalesce(any_value(n), 0) AS n_links, min(other) AS component_id, id = min(other) AS kept FROM reach LEFT JOIN c ON c.x = id GROUP BY id
+""",
     "op7_line_dedup": """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, array_to_string(lines[pos + 1 : pos + 3], chr(10)) AS w, least(len(lines), 3) AS n

@@ -305,15 +305,20 @@ def jaccard_components(df: DataFrame, text: str = "text", key: str = "doc_id", k
         if not classes.groupBy("c1").count().where("count > 1").limit(1).count():
             break
         drop(docs, classes)
+    keys = stored(docs.select("key", "n", "c1", "c2"))
     blocks = _blocks(docs, classes)
+    wanted = blocks.select("cls").distinct()
+    sigs = docs.where("sig is not null").select(F.col("c1").alias("cls"), "n", "sig", "mini").join(wanted, "cls", "left_semi")
+    sigs = stored(sigs.dropDuplicates(["cls"]))
+    drop(docs)
     release(spark)
-    c = _components(base, blocks, docs, classes, k, percent, seed)
+    c = _components(base, blocks, sigs, classes, k, percent, seed)
     best = classes.select(F.col("c1").alias("id"), "rep").join(c, "id")
     least = best.groupBy("component").agg(F.min("rep").alias("least"))
     named = stored(salted_join(best, least, ["component"], spread="id").select(F.col("id").alias("c1"), "least"))
-    drop(blocks, c)
+    drop(blocks, sigs, c)
     comps = classes.select("c1", "c2", "rep").join(named, "c1", "left").select("c1", "c2", F.coalesce("least", "rep").alias("component"))
-    out = salted_join(docs.select("key", "n", "c1", "c2"), comps, ["c1", "c2"], "left", spread="key")
+    out = salted_join(keys, comps, ["c1", "c2"], "left", spread="key")
     component = F.when(F.col("n") > 0, F.coalesce("component", "key")).otherwise(F.col("key"))
     return out.select(F.col("key").cast(name).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), component).cast("long").alias("component_id"))
 
@@ -458,11 +463,8 @@ def _offers_at_once(members: DataFrame, sigs: DataFrame, percent: int) -> DataFr
     return _bounded(few, sigs, percent).union(walked)
 
 
-def _components(base: DataFrame, blocks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+def _components(base: DataFrame, blocks: DataFrame, sigs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
     """(id, component) of the classes that link."""
-    wanted = blocks.select("cls").distinct()
-    sigs = docs.where("sig is not null").select(F.col("c1").alias("cls"), "n", "sig", "mini").join(wanted, "cls", "left_semi")
-    sigs = stored(sigs.dropDuplicates(["cls"]))
     stars = blocks.where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b"), "n").distinct()
     stars = stars.join(classes.select(F.col("c1").alias("a"), F.col("n").alias("m")), "a").where(_near_in_size("n", "m", percent)).select("a", "b")
     tried = stored(_bounded(stars, sigs, percent))

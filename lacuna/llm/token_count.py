@@ -4,8 +4,10 @@ Arrow functions hand whole texts to the tokenizer library in batches and return
 lengths only.  Texts are cut at safe boundaries: before white space that follows a
 character which is not white space.  No pre-token of a byte-level vocabulary crosses such
 a place and no special string holds white space, so the counts of the pieces add up to
-the count of the text.  Pieces repeat heavily, so each worker keeps a bounded table
-of piece lengths and encodes only new pieces, in batches balanced by bytes.
+the count of the text.  Pieces repeat heavily, so each worker keeps a bounded table of piece lengths and encodes only
+new pieces, in batches balanced by bytes: handing whole texts to the library costs more CPU (the README has figures).
+A text is cut whether it is long or not; the table needs some 150 bytes a piece.  White space is the only safe boundary
+here, so a run without any is one piece however long, and is encoded at once.
 
 Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows give repeated rows; extra
 columns are ignored; an empty table gives an empty result.
@@ -19,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lacuna.llm.common import tokenizer
+from lacuna.llm.common import map_arrow, tokenizer
 
 #: White space of the pre-tokenizer (Unicode White_Space); \x1c-\x1f count for Python only.
 _PIECE = re.compile(r"(?:(?![\x1c-\x1f])\s)*(?:[^\s]|[\x1c-\x1f])+|(?:(?![\x1c-\x1f])\s)+")
@@ -108,4 +110,4 @@ def count_tokens(
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(df.select(key, text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
