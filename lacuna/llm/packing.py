@@ -29,7 +29,7 @@ from lacuna.llm.words import CHUNK, slices_by_bytes, text_buffer, word_hashes, w
 
 DIMS, BITS, SALT_BITS = 4, 10, 20
 #: Bytes of texts that are encoded at once; a longer text stands alone.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -139,7 +139,8 @@ class Ids:
         self.length, self.batches = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 12, "<u4"), 0
 
-    def _shrink(self) -> None:
+    def shrink(self) -> None:
+        """Forget the words that were met in one batch only, and all if the rest still fills half the room."""
         keep = self.batches > 1
         if keep.sum() > self.most // 2:
             self.clear()
@@ -170,7 +171,7 @@ class Ids:
         hashes, starts, ends, bounds = word_places(data, offsets, lower)
         one, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(one) > self.most:
-            self._shrink()
+            self.shrink()
         at = np.searchsorted(self.hashes, one)
         known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == one if len(self.hashes) else np.zeros(len(one), bool)
         if not known.all():
@@ -298,6 +299,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size
                         held.clear()
                         sequence, used = sequence + 1, 0
             yield flush(kind)
+        ids.shrink()
         if used:  # the rest, in lengths that are powers of two
             lengths = [1 << p for p in range(used.bit_length() - 1, -1, -1) if used >> p & 1]
             room, offset = lengths.pop(0), 0

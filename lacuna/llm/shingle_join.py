@@ -338,8 +338,11 @@ def _blocks(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) for which neither the short nor the whole signatures rule the threshold out."""
-    return _within_bound(_within_bound(pairs, sigs, percent, "mini"), sigs, percent, "sig")
+    """The pairs (a, b) for which neither the short nor the whole signatures rule the threshold out.
+
+    What the short ones leave is written, so that no task runs two kernels, and two Python workers, at once.
+    """
+    return _within_bound(stored(_within_bound(pairs, sigs, percent, "mini")), sigs, percent, "sig")
 
 
 def _within_bound(pairs: DataFrame, sigs: DataFrame, percent: int, sig: str) -> DataFrame:
