@@ -342,7 +342,14 @@ def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
     What the short ones leave is written, so that no task runs two kernels, and two Python workers, at once.
     """
-    return _within_bound(stored(_within_bound(pairs, sigs, percent, "mini")), sigs, percent, "sig")
+    return _finely_bounded(_within_bound(pairs, sigs, percent, "mini"), sigs, percent)
+
+
+def _finely_bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the whole signatures leave; only the signatures of their ends are shuffled."""
+    pairs = stored(pairs)
+    ends = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    return _within_bound(pairs, sigs.join(small(ends), "cls", "left_semi"), percent, "sig")
 
 
 def _within_bound(pairs: DataFrame, sigs: DataFrame, percent: int, sig: str) -> DataFrame:
@@ -433,7 +440,7 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     return left.union(right)
 
 
-def _traversed(tiles: DataFrame, sigs: DataFrame, percent: int, partners: int | None) -> DataFrame:
+def _traversed(tiles: DataFrame, sigs: DataFrame, sig: str, percent: int, partners: int | None) -> DataFrame:
     """(a, b, held): pairs (a < b) that the traversal of each ``g`` offers, and whether it held others back."""
 
     def tile(t: pa.Table) -> pa.Table:
@@ -446,7 +453,7 @@ def _traversed(tiles: DataFrame, sigs: DataFrame, percent: int, partners: int |
         a, b = cls[i], cls[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "held": np.full(len(a), held)})
 
-    rows = tiles.join(sigs.select("cls", "sig"), "cls")
+    rows = tiles.join(sigs.select("cls", F.col(sig).alias("sig")), "cls")
     return rows.select("g", "side", "cls", "comp", "n", "sig").groupBy("g").applyInArrow(tile, "a long, b long, held boolean")
 
 
@@ -462,8 +469,8 @@ def _offers_at_once(members: DataFrame, sigs: DataFrame, percent: int) -> DataFr
     bins = max(1, (kin.agg(F.sum("kin")).first()[0] or 0) // (4 * PART))
     share = F.pmod(F.xxhash64("token", F.lit("share")), F.ceil(F.col("kin") / (4 * PART)))
     dealt = salted_join(several, kin, ["c0"], spread="token").select(F.pmod(F.xxhash64("c0", share), F.lit(bins)).alias("g"), F.lit(0).alias("side"), "cls", "comp", "n")
-    walked = _traversed(dealt.distinct(), sigs, percent, None).select("a", "b").distinct()
-    return _bounded(few, sigs, percent).union(walked)
+    walked = _traversed(dealt.distinct(), sigs, "mini", percent, None).select("a", "b")
+    return _finely_bounded(_within_bound(few, sigs, percent, "mini").union(walked).distinct(), sigs, percent)
 
 
 def _components(base: DataFrame, blocks: DataFrame, sigs: DataFrame, classes: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
@@ -476,7 +483,7 @@ def _components(base: DataFrame, blocks: DataFrame, sigs: DataFrame, classes: Da
     comp, partners = components(links), PARTNERS
     while True:
         members = _open(blocks, comp)
-        offers = _traversed(_tiles(members.where(F.col("size") > PART), percent), sigs, percent, partners)
+        offers = _traversed(_tiles(members.where(F.col("size") > PART), percent), sigs, "sig", percent, partners)
         if partners == PARTNERS:
             offers = offers.unionByName(_offers_at_once(members, sigs, percent).withColumn("held", F.lit(False)))
         offers = stored(offers.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held")))
