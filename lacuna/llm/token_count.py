@@ -46,7 +46,7 @@ class Lengths(dict):
             self[p] = len(e)
 
     def learn(self, cut: list[list[str]]) -> None:
-        new = set().union(*cut).difference(self)
+        new = {p for p in set().union(*cut) if p not in self}  # set.difference would walk the whole table
         if len(self) + len(new) > self.most:
             self.clear()
             new = set().union(*cut)
