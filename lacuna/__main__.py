@@ -1,4 +1,4 @@
-"""Command line: encode, decode, heal and stack files; ids and datagrams; sound transport."""
+"""Command line: encode, decode, heal and stack files; ids and datagrams; sound transport; ``net`` (see lacuna.net)."""
 
 from __future__ import annotations
 
@@ -100,6 +100,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["net"]:
+        from lacuna import net
+
+        return net.main(argv[1:])
     a = parser().parse_args(argv)
     if a.what == "encode":
         data = open(a.source, "rb").read()
@@ -132,7 +137,7 @@ def main(argv: list[str] | None = None) -> int:
         print(content_id(f"{a.uri}::{a.frame}").hex())
     elif a.what in ("inventory", "want"):
         kind = B.INVENTORY if a.what == "inventory" else B.WANT
-        ids = sorted(set(a.ids))[:64] if kind == B.INVENTORY else a.ids
+        ids = sorted(set(a.ids))[: B.MOST_IDS]
         print((B.CONTROL_HEADER.pack(B.CONTROL, kind, content_id(a.uri), len(ids)) + b"".join(i.to_bytes(2, "big") for i in ids)).hex())
     elif a.what == "sound-send":
         chunks = [(i, data) for i, (_, data, _) in enumerate(read_folder(a.folder))]

@@ -25,6 +25,7 @@ SYNC, PREAMBLE = b"\x2d\xd4", b"\x55"
 INVENTORY, WANT = 1, 2
 RECOVERY_ID_BASE = 1_000_000
 MAC_BYTES, SEAL_BYTES = 32, 29
+MOST_IDS = 64  # in an inventory or a want
 
 
 def be(c: Column, width: int) -> Column:

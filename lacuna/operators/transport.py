@@ -12,13 +12,13 @@ def overhead(auth: bool = False, seal: bool = False) -> int:
     return B.DATA_HEADER.size + B.MAC_BYTES * auth + B.SEAL_BYTES * seal
 
 
-def fragments(chunks: DataFrame, most: int = 1200, auth_key: bytes | None = None, seal_key: bytes | None = None, key_id: int = 0) -> DataFrame:
-    """(content_id, chunk_id, frag_idx, frag_total, datagram) of chunks(content_id, chunk_id, data)."""
+def fragments(chunks: DataFrame, most: int = 1200, auth_key: bytes | None = None, seal_key: bytes | None = None, key_id: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(content_id, chunk_id, frag_idx, frag_total, datagram) of chunks(content_id, chunk_id, data), and the columns to ``keep``."""
     room = most - overhead(bool(auth_key), bool(seal_key))
     if room <= 0:
         raise ValueError("datagrams are too small for their header")
     total = F.greatest(F.lit(1), F.ceil(F.length("data") / room)).cast("int")
-    x = chunks.select("content_id", "chunk_id", "data", total.alias("frag_total"))
+    x = chunks.select("content_id", "chunk_id", "data", *keep, total.alias("frag_total"))
     x = x.withColumn("frag_idx", F.explode(F.sequence(F.lit(0), F.col("frag_total") - 1)))
     head = F.concat(B.lit_bytes(B.DATA), "content_id", B.be(F.col("chunk_id"), 4), B.be(F.col("frag_idx"), 2), B.be(F.col("frag_total"), 2), B.be(F.length("data"), 4))
     x = x.withColumn("head", head).withColumn("part", F.substring(F.col("data"), F.col("frag_idx") * room + 1, F.lit(room)))
@@ -30,7 +30,7 @@ def fragments(chunks: DataFrame, most: int = 1200, auth_key: bytes | None = None
         x = x.withColumn("datagram", F.concat("head", "part"))
     if auth_key:
         x = x.withColumn("datagram", F.concat("datagram", B.hmac_sha256(auth_key, F.col("datagram"))))
-    return x.select("content_id", "chunk_id", "frag_idx", "frag_total", "datagram")
+    return x.select("content_id", "chunk_id", "frag_idx", "frag_total", "datagram", *keep)
 
 
 def parse(datagrams: DataFrame, auth_key: bytes | None = None, seal_keys: dict[int, bytes] | None = None) -> DataFrame:
@@ -84,11 +84,12 @@ def control(inventories: DataFrame, kind: int) -> DataFrame:
 
 
 def parse_control(df: DataFrame) -> DataFrame:
-    """(kind, content_id, ids) of control datagrams; those that do not fit go."""
+    """(kind, content_id, ids) of control datagrams; those that do not fit or are of another kind go."""
     d = F.col("datagram")
     n = B.from_be(d, 21, 2).cast("int")
     ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.hex(F.substring(d, B.CONTROL_HEADER.size + 1 + 2 * i, F.lit(2))), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
     ok = (F.length(d) >= B.CONTROL_HEADER.size) & (F.substring(d, 1, 4) == B.lit_bytes(B.CONTROL)) & (F.length(d) >= B.CONTROL_HEADER.size + 2 * n)
+    ok = ok & B.from_be(d, 4, 1).isin(B.INVENTORY, B.WANT)
     return df.where(ok).select(B.from_be(d, 4, 1).cast("int").alias("kind"), F.substring(d, 6, 16).alias("content_id"), ids.alias("ids"))
 
 

@@ -9,8 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 
+def join_groups(sock: socket.socket, groups: list[str]) -> int:
+    """Subscribe to multicast addresses; how many took it, the others are left out."""
+    taken = 0
+    for g in groups:
+        try:
+            sock.setsockopt(socket.IPPROTO_IP, socket.IP_ADD_MEMBERSHIP, socket.inet_aton(g) + socket.inet_aton("0.0.0.0"))
+            taken += 1
+        except OSError:
+            pass
+    return taken
+
+
 class DatagramSource(DataSource):
-    """``spark.readStream.format("datagrams").option("port", ...)``: what came to a local port between two triggers."""
+    """``spark.readStream.format("datagrams").option("port", ...)``: what came to a port between two triggers.
+
+    Options: ``host`` to bind (this machine's loopback if not given), ``groups`` of multicast, comma-separated, and
+    ``maxRowsPerBatch``.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -26,6 +42,7 @@ class DatagramSource(DataSource):
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options):
         self.port, self.most = int(options.get("port", 0)), int(options.get("maxRowsPerBatch", 10_000))
+        self.host, self.groups = options.get("host", "127.0.0.1"), [g.strip() for g in options.get("groups", "").split(",") if g.strip()]
         self.sock = None
         self.log: dict[int, list] = {}
 
@@ -35,7 +52,8 @@ class _Reader(SimpleDataSourceStreamReader):
     def read(self, start: dict):
         if self.sock is None:
             self.sock = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-            self.sock.bind(("127.0.0.1", self.port))
+            self.sock.bind((self.host, self.port))
+            join_groups(self.sock, self.groups)
             self.sock.setblocking(False)
         rows = []
         while len(rows) < self.most:
