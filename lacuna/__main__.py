@@ -71,6 +71,8 @@ def parser() -> argparse.ArgumentParser:
         d.add_argument("--honest", action="store_true")
         d.add_argument("--kb", type=int, default=32)
         d.add_argument("--rounds", type=int, default=1)
+        if name == "decode":
+            d.add_argument("--confidence", action="store_true", help="write the confidence beside the target")
     s = sub.add_parser("stack")
     s.add_argument("target")
     s.add_argument("folders", nargs="+")
@@ -119,7 +121,12 @@ def main(argv: list[str] | None = None) -> int:
         if f is None:
             print("nothing decodes", file=sys.stderr)
             return 1
-        save(f, C.render(f), a.target)
+        if a.confidence:
+            from lacuna.store import save_field
+
+            print(save_field(f, a.target))
+        else:
+            save(f, C.render(f), a.target)
     elif a.what == "heal":
         chunks = read_folder(a.folder)
         if a.rounds > 1:

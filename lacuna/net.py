@@ -12,6 +12,7 @@ import hashlib
 import itertools
 import json
 import os
+import random
 import re
 import socket
 import sys
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import bytes as B
+from lacuna.operators import ordering as O
 from lacuna.operators import transport as T
 from lacuna.sources.datagrams import join_groups
 from lacuna.store import ChunkStore
@@ -190,6 +192,7 @@ class Node:
         self.store = ChunkStore(self.spark, root if "://" in root else f"file://{os.path.abspath(root)}")
         self.seen = self.stored = 0
         self.waiting: list[tuple[bytearray, float]] = []
+        self.known: set[tuple[str, int]] = set()  # every chunk that came, purged or not: none is forwarded twice
 
     def ids(self, cid: bytes) -> list[int]:
         """Ids of a content's chunks; recovery chunks are all 0."""
@@ -260,6 +263,39 @@ class Node:
         return done
 
 
+    def pass_on(self, cid: str, chunk_id: int, peers: list[Address]) -> None:
+        """Send a chunk of the store to all peers."""
+        own = self.store.chunks(cid).where(F.col("chunk_id") == chunk_id)
+        for parts in datagrams(own.select(F.unhex("cid").alias("content_id"), "chunk_id", "data", F.lit(0).alias("place")), self.a):
+            for peer, d in itertools.product(peers, parts):
+                self.send(d, peer)
+
+    def radiate(self, now: float, peers: list[Address], rng: random.Random, bias: float = 0.0) -> tuple[str, int] | None:
+        """Send one chunk of one content, contents drawn by how recent they are; what was sent."""
+        weight = O.content_weight(F.lit(now) - F.col("last"), bias)
+        content = T.last_seen(self.store.table()).orderBy(-F.log(1 - F.rand(rng.getrandbits(31))) / weight).select("cid").first()
+        if content is None:
+            return None
+        chunk = self.store.chunks(content["cid"]).orderBy(F.rand(rng.getrandbits(31))).select("chunk_id").first()["chunk_id"]
+        self.pass_on(content["cid"], chunk, peers)
+        return content["cid"], chunk
+
+    def turn(self, arrived: list[tuple[bytes, Address]], now: float, peers: list[Address], rng: random.Random, forward: float = 0.25, bias: float = 0.0, inventory: bool = True, ttl: float | None = None) -> None:
+        """One round of gossip: take in, forward some of what is new, send one chunk of the store and the inventories, purge."""
+        for key in self.take(arrived, now):
+            if key not in self.known:
+                self.known.add(key)
+                if peers and rng.random() < forward:
+                    self.pass_on(*key, peers)
+        if peers:
+            self.radiate(now, peers, rng, bias)
+            if inventory:
+                for r in self.store.contents().toLocalIterator():
+                    self.announce(bytes.fromhex(r["cid"]), peers)
+        if ttl:
+            self.store.purge(ttl, now)
+
+
 def receive(sock: socket.socket, seconds: float) -> list[tuple[bytes, Address]]:
     """What comes to a socket in some seconds."""
     out, end = [], time.time() + seconds
@@ -408,6 +444,19 @@ def mesh_recv(a):
     print(f"datagrams_seen={node.seen} stored_chunks={node.stored}")
 
 
+def mesh_node(a):
+    """A node that gossips: every round takes in, forwards, sends a chunk and purges; inventories go once a period."""
+    peers, rng = [address(p) for p in a.peer], random.Random(a.seed)
+    with udp(a.bind) as s:
+        join_groups(s, [address(m)[0] for m in a.mcast])
+        node, end, due = Node(a.store_root, a, sender(s)), time.time() + a.duration, 0.0
+        while (now := time.time()) < end:
+            tell = a.inventory_period > 0 and now >= due
+            due = now + a.inventory_period if tell else due
+            node.turn(receive(s, min(1 / a.rate_hz, end - now)), time.time(), peers, rng, a.forward_prob, a.recency_bias, tell, a.frame_ttl)
+    print(f"datagrams_seen={node.seen} stored_chunks={node.stored}")
+
+
 def mesh_join_mcast(a):
     with udp() as s:
         n = join_groups(s, [address(m)[0] for m in a.mcast])
@@ -474,6 +523,14 @@ AGE = [("--input", {}), *LINES, *SECRETS, ("--max-partial-age", {"type": float,
 BIND = [("--bind", {})]
 PEER, PEERS = [("--peer", {"required": True})], [("--peer", {"action": "append", "default": []})]
 DATA = [("--data-hex", {}), ("--data-base64", {}), ("--input", {})]
+GOSSIP = [
+    ("--rate-hz", {"type": float, "default": 50.0}),
+    ("--forward-prob", {"type": float, "default": 0.25}),
+    ("--inventory-period", {"type": float, "default": 1.0}),
+    ("--frame-ttl", {"type": float}),
+    ("--recency-bias", {"type": float, "default": 0.0}),
+    ("--seed", {"type": int}),
+]
 PATH, CHUNK_DIR = [("--path", {"required": True})], [("--chunk-dir", {"required": True})]
 
 
@@ -500,6 +557,7 @@ COMMANDS = {
     assembler_expire: AGE + [("--advance", {"type": float, "default": 0.0})],
     mesh_broadcast: URI + CHUNK_DIR + PEERS + BIND + _store("cortex_tx") + [("--repeats", {"type": int, "default": 1}), ("--priority", {"choices": ["gain"]}), ("--send-recovery", {"action": "store_true"})],
     mesh_recv: [("--bind", {"required": True}), ("--mcast", {"action": "append", "default": []})] + _store("cortex_rx") + _seconds(5.0),
+    mesh_node: [("--bind", {"required": True}), ("--mcast", {"action": "append", "default": []})] + PEERS + _store("cortex_node") + _seconds(float("inf")) + GOSSIP,
     mesh_join_mcast: [("--mcast", {"action": "append", "required": True})] + _seconds(1.0),
     mesh_inventory: CONTENT + PEERS + BIND + _store("cortex_node"),
     mesh_chunk_id: PATH,

@@ -242,6 +242,19 @@ def gossip_rounds(spark, d):
     return simulate(li.select("peer", F.col("l_partkey").alias("id")).distinct(), peers=n, rounds=3)
 
 
+@query()
+def gossip_spread(spark, d):
+    """Ids that each peer holds and has received after rounds of the node protocol; peers are linked with the next and the seventh."""
+    from lacuna.streaming.gossip import ring, spread
+
+    places, n = ring(load(spark, d, "supplier"), "s_suppkey")
+    li = load(spark, d, "lineitem").where("l_partkey <= 65535").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    steps = places.select("peer", F.explode(F.array(F.lit(1), F.lit(7))).alias("step"))
+    links = steps.select("peer", F.pmod(F.col("peer") + F.col("step"), F.lit(max(n, 1))).alias("to")).where("peer != to")
+    x = spread(li.select("peer", F.col("l_partkey").alias("id")), links, rounds=3, seed=11, ttl=2)
+    return x.groupBy("peer").agg(F.count_if("held").alias("held"), F.count("since").alias("received"))
+
+
 @query("WITH f AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame FROM conversations), r AS (SELECT conv_id, turn FROM f WHERE frame % 3 <> 2) SELECT f.conv_id, f.turn, CASE WHEN r.turn IS NOT NULL THEN CAST(frame AS INTEGER) END AS frame FROM f LEFT JOIN r ON r.conv_id = f.conv_id AND r.turn = f.turn")
 def frame_lookup(spark, d):
     """Receipts joined with the dictionary of registered frames; others are kept without a frame."""

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import time
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import bytes as B
 from lacuna.operators import codec as C
 from lacuna.operators import transport as T
+from lacuna.sources import media
 from lacuna.sources.persist import drop, remove, stored
 
 COLUMNS = ["chunk_id", "name", "data", "score", "seen", "cid"]
@@ -63,6 +66,20 @@ class ChunkStore:
         remove(self.spark, f"{self.path}/cid={cid}")
 
 
+def save_field(f: C.Field, path: str) -> str:
+    """A field's best state and, beside it, its confidence as local files; the path of the latter."""
+    with open(path, "wb") as out:
+        out.write(media.write_png(C.render(f)) if f.kind == "image" else media.write_wav(C.render(f), f.rate))
+    beside = f"{os.path.splitext(path)[0]}_confidence.{'png' if f.kind == 'image' else 'npy'}"
+    seen = C.confidence(f)
+    with open(beside, "wb") as out:
+        if f.kind == "image":
+            out.write(media.write_png(np.clip(seen * 255.0, 0, 255).astype(np.uint8)))
+        else:
+            np.save(out, seen.astype(np.float32))
+    return beside
+
+
 class FieldView:
     """One content of a store: coverage, best reconstruction, healing; chunks are read and decoded on an executor."""
 
@@ -82,14 +99,20 @@ class FieldView:
 
     def best(self, most: int | None = None, by_gain: bool = False, use_recovery: bool | None = None):
         """(values, confidence), or None if nothing decodes."""
-        import numpy as np
-
         row = C.decode_fields(self._chunks(), most, by_gain, use_recovery).first()
         if row is None:
             return None
         values = np.frombuffer(row["values"], np.uint8 if row["kind"] == "image" else np.int16).reshape(row["shape"])
         return values, np.array(row["confidence"], np.float32)
 
+    def save(self, path: str, **options) -> str | None:
+        """Write the best state to a local file, PNG or WAVE, and its confidence beside it, as a grey PNG of the block map
+        or a .npy curve; the latter's path, or None if nothing decodes.  ``options`` are those of ``best``."""
+        f = C.gather([(r["name"], bytes(r["data"]), r["score"]) for r in self._chunks().toLocalIterator()], **options)
+        if f is None:
+            return None
+        return save_field(f, path)
+
     def heal(self, **options) -> list[C.Chunk]:
         return [(r["name"], bytes(r["data"]), r["score"]) for r in C.heal_fields(self._chunks(), **options).orderBy("name").toLocalIterator()]
 

@@ -3,6 +3,7 @@
 import argparse
 import base64
 import json
+import random
 import socket
 import time
 
@@ -18,7 +19,7 @@ KEY = "0x" + "ab" * 16
 
 def test_every_command_has_options():
     p = net.parser()
-    assert len(net.COMMANDS) == 23
+    assert len(net.COMMANDS) == 24
     with pytest.raises(SystemExit):
         p.parse_args(["mesh-sendto", "--peer", "127.0.0.1:1"])
     with pytest.raises(SystemExit):
@@ -142,3 +143,59 @@ def test_sockets(spark, tmp_path, capsys):
         free = s.getsockname()[1]
     assert main(["net", "mesh-recv", "--bind", f"127.0.0.1:{free}", "--duration", "0.2", "--store-root", str(tmp_path / "r")]) == 0
     assert capsys.readouterr().out.strip() == "datagrams_seen=0 stored_chunks=0"
+
+
+def test_gossip(spark, tmp_path):
+    a = argparse.Namespace(max_payload=1200, auth_key=None, enc_key=None, enc_key_id=0)
+    cid, peers, sent = bytes.fromhex(CID), [("127.0.0.1", 8), ("127.0.0.1", 9)], []
+    node = net.Node(str(tmp_path / "s"), a, lambda d, to: sent.append((d, to)))
+    rng = random.Random(1)
+    node.turn([], 0.0, peers, rng)
+    assert sent == []
+    data = next(net.datagrams(spark.createDataFrame([(bytearray(cid), 4, bytearray(b"x" * 30), 0)], net.CHUNKS), a))[0]
+    now = time.time()
+    node.turn([(data, peers[0])], now, peers, rng, forward=1.0)
+    told = net.control(B.INVENTORY, cid, [4])
+    assert sent == [(d, p) for d in (data, data, told) for p in peers]  # forwarded, radiated, announced
+    sent.clear()
+    node.turn([(data, peers[0])], now, peers, rng, forward=1.0, inventory=False)
+    assert sent == [(data, p) for p in peers]  # known: only radiated
+    node.turn([], now + 100, [], rng, ttl=50)
+    assert node.ids(cid) == [] and node.radiate(now, peers, rng) is None
+
+
+def test_mesh_node_command(spark, tmp_path, capsys):
+    assert main(["net", "mesh-node", "--bind", "127.0.0.1:0", "--duration", "0.2", "--store-root", str(tmp_path / "r")]) == 0
+    assert capsys.readouterr().out.strip() == "datagrams_seen=0 stored_chunks=0"
+
+
+@pytest.mark.parametrize(("forward", "ttl"), [(0.25, None), (1.0, 1), (0.0, 0)])
+def test_spread(spark, forward, ttl):
+    """Against the rules played peer by peer, with the operator's own draws."""
+    from pyspark.sql import functions as F
+
+    from lacuna.streaming import gossip
+
+    n, ids, rounds = 7, 12, 4
+    have = [(p, i) for p in range(n) for i in range(ids) if (p * 5 + i * 3) % 8 == 0]
+    links = [(p, (p + s) % n) for p in range(n) for s in (1, 3)]
+    grid = spark.range(n).select(F.col("id").alias("peer")).crossJoin(spark.range(ids))
+    luck = {(k, r, x["peer"], x["id"]): x["u"] for k in (0, 1) for r in range(1, rounds + 1) for x in grid.withColumn("u", gossip.draw(5, k, r)).collect()}
+    state = {h: (None, 0, True) for h in have}
+    for r in range(1, rounds + 1):
+        held = {k: v for k, v in state.items() if v[2]}
+        arrived = set()
+        for p, to in links:
+            own = sorted(i for q, i in held if q == p)
+            arrived |= {(to, i) for i in own if held[p, i][0] == r - 1 and luck[0, r, p, i] < forward}
+            arrived |= {(to, i) for i in own[:2] if (to, i) not in held}
+            if own:
+                arrived.add((to, min(own, key=lambda i: luck[1, r, p, i])))
+        for k in arrived:
+            old = state.get(k, (None, 0, True))
+            state[k] = (r if old[0] is None else old[0], r, True)
+        state = {k: (s, last, ttl is None or r - last <= ttl) for k, (s, last, _) in state.items()}
+    rows = [*have, *have[:3], (None, 1), (2, None)]
+    got = gossip.spread(spark.createDataFrame(rows, "peer long, id long"), spark.createDataFrame(links * 2, "peer long, to long"), rounds, 5, forward, 2, ttl)
+    assert {(x["peer"], x["id"]): (x["since"], x["last"], x["held"]) for x in got.collect()} == state
+    assert gossip.spread(spark.createDataFrame([], "peer long, id long"), spark.createDataFrame(links, "peer long, to long"), 2).count() == 0
