@@ -256,7 +256,8 @@ FRAGMENTS = "f AS (SELECT user_id % 3 AS content_id, event_id // 4 AS chunk_id,
 
 def _fragments(spark, d):
     """Every four events one chunk, told apart by content as well: fragments by event id, four to a chunk."""
-    s = spark.readStream.schema(load(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # a pattern, since a stream takes no single file by its name; it finds a folder of part files as well
+    s = spark.readStream.schema(load(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     payload = F.encode("event_type", "UTF-8").alias("payload")
     parts = s.select((F.col("user_id") % 3).cast("string").alias("content_id"), F.floor(F.col("event_id") / 4).alias("chunk_id"), (F.col("event_id") % 4).cast("int").alias("frag_idx"), F.lit(4).alias("frag_total"), F.lit(1 << 20).cast("long").alias("chunk_len"), payload, F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")))).alias("at"))
     return parts
