@@ -42,3 +42,14 @@ def test_events_in_part_files(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     rows = [sorted(map(tuple, catalog.QUERIES["stream_assemble"](spark, d).collect())) for d in (sf_dir, str(tmp_path))]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_timer_of_shared_states(spark, tmp_path):
+    """A timer drops the partials that are due and leaves the others of their state."""
+    n = 3000
+    s = fragments(spark, tmp_path, [[(0, n, 0, 0)], [(n, 2 * n, 0, 90)], [(2 * n, 2 * n + 1, 0, 150)], [(n, 2 * n, 1, 180), (0, 1000, 1, 180)]])
+    events, states = run(assembly.assemble(s, max_age=100), tmp_path)
+    done = {r["chunk_id"]: bytes(r["data"]).decode() for r in events.where("event = 'complete'").collect()}
+    assert done == {k: f"{k}.0 {k}.1 " for k in range(n, 2 * n)}
+    assert assembly.counters(events).first() == (n, sum(map(len, done.values())), n, n)
+    assert 0 < max(states) <= n * 5 // 6
